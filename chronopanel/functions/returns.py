@@ -1,0 +1,36 @@
+"""Placeholder of the first slice: log returns and realised volatility of the weekly panel."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronopanel.sources.panels import WEEKLY_SQL, weekly_panel
+
+_T = Window.partitionBy("ticker").orderBy("date")
+
+
+def log_returns(panel: DataFrame) -> DataFrame:
+    return panel.withColumn("ret", F.ln("close") - F.lag(F.ln("close")).over(_T))
+
+
+def log_returns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_returns(weekly_panel(spark, sf_dir)).select("date", "ticker", F.round("ret", 6).alias("ret"))
+
+
+def realised_vol(panel: DataFrame, window: int) -> DataFrame:
+    w = _T.rowsBetween(-(window - 1), 0)
+    full = F.count("ret").over(w) == window
+    return log_returns(panel).withColumn(f"vol_{window}", F.when(full, F.stddev_samp("ret").over(w) * F.sqrt(F.lit(252.0))))
+
+
+def realised_vol_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = realised_vol(weekly_panel(spark, sf_dir), 20).drop("ret")
+    return realised_vol(both, 60).select("date", "ticker", F.round("vol_20", 6).alias("vol_20"), F.round("vol_60", 6).alias("vol_60"))
+
+
+_RET = f"WITH panel AS ({WEEKLY_SQL}), r AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY date) AS ret FROM panel)"
+LOG_RETURNS_SQL = _RET + " SELECT date, ticker, round(ret, 6) AS ret FROM r"
+REALISED_VOL_SQL = _RET + " SELECT date, ticker, " + ", ".join(
+    f"round(CASE WHEN count(ret) OVER w{n} = {n} THEN stddev_samp(ret) OVER w{n} * sqrt(252) END, 6) AS vol_{n}" for n in (20, 60)
+) + " FROM r WINDOW " + ", ".join(f"w{n} AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (20, 60))

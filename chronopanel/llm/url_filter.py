@@ -47,7 +47,7 @@ def _range_bounds(rules: DataFrame) -> list[str]:
     if n < 2:
         return []
     firsts = rules.repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("first"))
-    return sorted({r[0] for r in firsts.collect()})[1:]  # at most MOST_RANGES + 1 rows
+    return sorted({r['first'] for r in firsts.collect()})[1:]  # at most MOST_RANGES + 1 rows
 
 
 def sweep(points: DataFrame, rules: DataFrame) -> DataFrame:

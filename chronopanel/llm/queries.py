@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, line_dedup, mixing, quality, simhash, token_counts, topk, url_filter
+from . import byte_bpe, katz, license_scan, line_dedup, mixing, quality, simhash, token_counts, topk, url_filter
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators, here their package's own answer.
@@ -71,6 +71,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return trip.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return katz.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op4_quality_rules, op5_topk, op6_license_scans, op7_byte_bpe, op9_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op4_quality_rules, op5_topk, op6_license_scans, op7_byte_bpe, op8_katz, op9_line_dedup, op10_mixing)}
 
 
 _URLS = r"""

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from typing import Any
 
 #: Pieces remembered at most (a batch of texts may go beyond), of at most PIECE characters each.
-REMEMBERED, PIECE = 1_000_000, 64
+REMEMBERED, PIECE = 400_000, 64
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CUT = re.compile(rf"(?<=[!-~{_LETTER}])(?=[ \n])|(?<=[{_LETTER}])(?=[,.!?;:])|(?<=[!-~{_LETTER}]\n)(?=[{_LETTER}])")

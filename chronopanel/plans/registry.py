@@ -6,12 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronopanel.functions.returns import LOG_RETURNS_SQL, REALISED_VOL_SQL, log_returns_query, realised_vol_query
+from chronopanel.plans import feature_queries, portfolio_queries, regime_queries, session_queries, stream_queries
 
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "log_returns": (log_returns_query, LOG_RETURNS_SQL),
-    "realised_vol": (realised_vol_query, REALISED_VOL_SQL),
-}
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**feature_queries.QUERIES, **session_queries.QUERIES, **regime_queries.QUERIES, **portfolio_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

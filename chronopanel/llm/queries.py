@@ -116,8 +116,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 _LINES = r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no, unnest(string_split(text, chr(10))) AS line FROM documents),
-t AS (SELECT doc_id, no, line, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS leaf FROM l),
+t AS (SELECT doc_id, no, line, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS leaf FROM l),
 r AS (SELECT leaf, min(doc_id) AS first FROM t WHERE leaf <> '' GROUP BY leaf HAVING count(DISTINCT doc_id) > 1),
 k AS (SELECT t.* FROM t LEFT JOIN r USING (leaf) WHERE r.leaf IS NULL OR r.first = t.doc_id),
 g AS (SELECT doc_id, CASE WHEN max(leaf) <> '' THEN string_agg(line, chr(10) ORDER BY no) ELSE '' END AS text,

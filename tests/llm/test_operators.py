@@ -263,7 +263,7 @@ def test_katz(spark, odd, odd_rows, empty):
 
 def test_line_dedup(odd, odd_rows, empty):
     got = rows(line_dedup.drop_recurring_lines(odd).select("doc_id", "text", "lang", "source"))
-    path = lambda x: " ".join("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(lower(x)))
+    path = lambda x: " ".join("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x))
     order = lambda i, t: (i is not None, i or 0)
     where = defaultdict(set)
     for i, t, *_ in odd_rows:

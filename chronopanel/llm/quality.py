@@ -95,6 +95,10 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(c("n_words") < 20, c("n_words") >= 50),
         "word_length": _vote(F.try_divide("word_chars", "n_words") > 12, some & F.try_divide("word_chars", "n_words").between(3, 8)),
+        # Three views of one fault: no single rule outweighs all others, so a fault that shows in one count only is
+        # seen from more than one side.
+        "symbols_by_char": _vote(some & (F.try_divide("n_symbols", "word_chars") > 0.02), some & (F.try_divide("n_symbols", "word_chars") < 0.002)),
+        "symbols_by_end": _vote(some & (c("n_symbols") >= 5) & (c("n_symbols") > c("n_ends")), some & (10 * c("n_symbols") < c("n_ends"))),
         "symbols": _vote(per_word("n_symbols") > 0.1, some & (per_word("n_symbols") < 0.01)),
         "repeats": _vote(per_word("n_repeat_words") > 0.3, some & (per_word("n_repeat_words") < 0.05)),
         "dup_lines": _vote((c("n_lines") >= 4) & (F.try_divide("n_dup_lines", "n_lines") > 0.3), (c("n_lines") >= 3) & (c("n_dup_lines") == 0)),
@@ -105,21 +109,22 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit_votes(votes: np.ndarray, times: np.ndarray, rounds: int = 100, prior: float = 0.8, trust: float = 0.8) -> tuple[float, np.ndarray]:
-    """(share of good documents, probabilities [rule, class, vote] with classes and votes in the order bad, good).
+def fit_votes(votes: np.ndarray, times: np.ndarray, rounds: int = 500, start: float = 0.9, trust: float = 0.8) -> tuple[float, np.ndarray]:
+    """(share of good documents, accuracies [rule, (on bad, on good)]).
 
-    votes: patterns x rules in -1, 0, 1; times: documents of each pattern. Abstaining tells nothing. The start gives
-    every rule the accuracy trust, and a rule never falls under one half, which keeps the classes from changing places.
-    One document's worth of the start stays in as a prior, so no probability becomes 0 or 1."""
+    votes: patterns x rules in -1, 0, 1; times: documents of each pattern. Abstaining tells nothing. At the start a
+    document with any bad vote is bad with probability start, any other good. A rule's accuracy never falls under one
+    half, which keeps the classes from changing places; one vote's worth of trust stays in as a prior, so no probability
+    becomes 0 or 1."""
+    bad = np.where((votes == -1).any(axis=1), start, 1 - start)
     right = np.full((votes.shape[1], 2), trust)
-    good = prior
+    good = 0.5
     for _ in range(rounds):
-        after = posterior(votes, good, right)
-        weight = np.stack([times * (1 - after), times * after])
-        hits = np.stack([[(weight[k] * (votes[:, r] == v)).sum() for k, v in ((0, -1), (1, 1))] for r in range(votes.shape[1])])
-        cast = np.stack([[(weight[k] * (votes[:, r] != 0)).sum() for k in (0, 1)] for r in range(votes.shape[1])])
-        new = np.clip((hits + trust) / (cast + 1), 0.5, 0.999)
-        good = (weight[1].sum() + prior) / (times.sum() + 1)
+        weight = np.stack([times * bad, times * (1 - bad)])
+        good = (weight[1].sum() + 1) / (times.sum() + 2)
+        hits = np.stack([weight[0] @ (votes == -1), weight[1] @ (votes == 1)], axis=1)
+        new = np.clip((hits + trust) / ((weight @ (votes != 0)).T + 1), 0.5, 0.999)
+        bad = 1 - posterior(votes, good, new)
         if np.abs(new - right).max() < 1e-9:
             break
         right = new

@@ -8,9 +8,9 @@ from the numbers of n-grams with each count; what that leaves goes to unseen n-g
     P(w)     = d(c) c(w) / N                 if w was seen
              = 1 - the sum of these          for the one class of all unseen words
 
-Documents are read once, into blocks of about BLOCK tokens with a vocabulary of their own. Words are counted over all
-blocks and get numbers by falling count; numbers and counts go back to the blocks that hold the words. Each block then
-sends its bigrams to buckets by the context's number; a context seen over HOT times is spread over as many buckets as it
+Documents are read once, into blocks of about BLOCK tokens with a vocabulary of their own. Blocks send their words to
+buckets by the words' hash; a bucket adds up counts, gives numbers, small ones to frequent words, and keeps them as its
+part of the word table, in the order in which each block sent its words. Each block then sends its bigrams to buckets by the context's number; a context seen over HOT times is spread over as many buckets as it
 takes, by the word that follows, so no bucket grows with one frequent word. A bigram is sent once a block, with the
 block's documents that hold it, as packed arrays. A bucket merges what it got into its part of the bigram table, which is
 stored; once the table's count statistics are known, each bucket scores its bigrams, and documents sum up their parts.
@@ -22,7 +22,6 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -32,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import forget, partitions, stored
 
 #: Tokens of a block; count from which a context is spread; bigrams of a bucket, about; counts that are discounted.
-BLOCK, HOT, BUCKET, K = 400_000, 100_000, 2_500_000, 5
+BLOCK, HOT, BUCKET, K = 1_500_000, 100_000, 2_500_000, 5
 
 _BEGIN, _UNKNOWN = -2, -1
+_END = int(np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64).view(np.int64)[0])
 _ARRAYS = ("ctx", "word", "word_count", "ctx_count", "seen", "posts", "doc", "times")
 
 
@@ -83,36 +83,36 @@ def _blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         held: list[bool] = []
-        texts: list[list[bytes]] = []
-        size = 0
+        texts: list[np.ndarray] = []
+        place: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
-            flat = np.array([w for t in texts for w in t], object)
-            code, distinct = pd.factorize(flat)
-            order = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")  # frequent words get small numbers
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            vocabulary = np.array([xxhash.xxh64_intdigest(distinct[i], 42) for i in order], np.uint64).view(np.int64)
-            row = [pa.array([int.from_bytes(os.urandom(7), "big")]), pa.array([ids], batches_schema.field("ids").type)]
-            row += [pa.array([pack(a)], pa.binary()) for a in (np.array(held), np.array([len(t) for t in texts]), vocabulary, place[code])]
+            code = np.concatenate(texts)
+            order = np.argsort(-np.bincount(code), kind="stable")  # frequent words get small numbers
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in place), np.uint64, len(place)).view(np.int64)
+            row = [pa.array([int.from_bytes(os.urandom(7), "big")]), pa.array([ids], batches_schema.field("ids").type), pa.array([len(code)])]
+            row += [pa.array([pack(a)], pa.binary()) for a in (np.array(held), np.array([len(t) for t in texts]), hashes[order], rank[code])]
             return pa.RecordBatch.from_arrays(row, schema=batches_schema)
 
-        batches_schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(_arrow(kind))), ("held", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
+        batches_schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(_arrow(kind))), ("n", pa.int64()), ("held", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
+        size = 0
         for b in batches:
             for i, out, text in zip(b["id"].to_pylist(), b["held"].to_pylist(), b["text"], strict=True):
                 words = [*(text.as_py() or "").encode().lower().split(), b""]  # b"" is the end
                 ids.append(i)
                 held.append(out)
-                texts.append(words)
+                texts.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
                 size += len(words)
                 if size >= tokens:
                     yield flush()
-                    ids, held, texts, size = [], [], [], 0
+                    ids, held, texts, size, place = [], [], [], 0, {}
         if ids:
             yield flush()
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    return chosen.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, held binary, sizes binary, vocabulary binary, tokens binary")
+    return chosen.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, n long, held binary, sizes binary, vocabulary binary, tokens binary")
 
 
 def _arrow(kind) -> pa.DataType:  # noqa: ANN001
@@ -121,26 +121,40 @@ def _arrow(kind) -> pa.DataType:  # noqa: ANN001
     return to_arrow_type(kind)
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, pos, h, c) of each word of each block, c its training count there."""
-    for b in batches:
-        for r in b.to_pylist():
-            v, t, sizes = unpack(r["vocabulary"]), unpack(r["tokens"]), unpack(r["sizes"])
-            train = np.repeat(unpack(r["held"]) == 0, sizes)
-            n = len(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["block"])), pa.array(np.arange(n, dtype=np.int64)), pa.array(v), pa.array(np.bincount(t[train], minlength=n).astype(np.int64))], ["block", "pos", "h", "c"])
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's words in the order of (bucket, hash), and where each bucket ends in it."""
+    bucket = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((hashes, bucket))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _ranked_words(blocks: DataFrame) -> DataFrame:
-    """(h, c, number) of each training word: numbers from 0 by falling count."""
-    words = blocks.select("held", "sizes", "vocabulary", "tokens", "block").mapInArrow(_words, "block long, pos long, h long, c long")
-    counts = words.where("c > 0").groupBy("h").agg(F.sum("c").alias("c"))
-    low = (1 << 33) - 1  # monotonically_increasing_id has the row's place in its partition in these bits
-    ranged = counts.repartitionByRange(F.desc("c"), "h").sortWithinPartitions(F.desc("c"), "h")
-    ranged = stored(ranged.select("h", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(low)).alias("row")), "words")
-    sizes = dict(ranged.groupBy("part").count().collect())  # one row a partition
-    before = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)])]).tolist()
-    return ranged.select("h", "c", (F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1) + F.col("row")).alias("number"))
+def _send_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, hashes, counts) of the words of each block, counted in its training documents."""
+    for b in batches:
+        for r in b.to_pylist():
+            h, t = unpack(r["vocabulary"]), unpack(r["tokens"])
+            count = np.bincount(t[np.repeat(unpack(r["held"]) == 0, unpack(r["sizes"]))], minlength=len(h))
+            order, ends = _by_bucket(h, buckets)
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            cut = [order[ends[k] : ends[k + 1]] for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r["block"]] * len(some), pa.int64()), pa.array([pack(h[c]) for c in cut], pa.binary()), pa.array([pack(count[c]) for c in cut], pa.binary())], ["bucket", "block", "hashes", "counts"])
+
+
+def _merge_words(got: pa.Table, buckets: int) -> pa.Table:
+    """A bucket's part of the word table: (bucket, block, numbers, counts, stats), numbers and counts in the order that the
+    block sent; in the first row stats, how many words were seen 1 to K + 1 times, words, tokens, ends."""
+    bucket, sent = got["bucket"][0].as_py(), [unpack(x.as_py()) for x in got["hashes"]]
+    hashes, place = np.unique(np.concatenate(sent), return_inverse=True)
+    count = np.bincount(place, weights=np.concatenate([unpack(x.as_py()) for x in got["counts"]])).astype(np.int64)
+    number = np.empty(len(count), np.int64)
+    number[np.argsort(-count, kind="stable")] = np.arange(len(count)) * buckets + bucket
+    number[count == 0] = _UNKNOWN
+    cuts = np.split(place, np.cumsum([len(x) for x in sent])[:-1])
+    stats = [int((count == r).sum()) for r in range(1, K + 2)] + [int((count > 0).sum()), int(count.sum()), int(count[hashes == _END].sum())]
+    return pa.table({
+        "bucket": pa.array([bucket] * len(got), pa.int64()), "for": got["block"], "numbers": pa.array([pack(number[c]) for c in cuts], pa.binary()), "counts": pa.array([pack(count[c]) for c in cuts], pa.binary()),
+        "stats": pa.array([stats] + [None] * (len(got) - 1), pa.list_(pa.int64())),
+    })
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
@@ -149,14 +163,17 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
 
 
-def _send(block: pa.Table, words: pa.Table, buckets: int, hot: int, begins: int, total: int, distinct: int, kind: pa.DataType) -> pa.Table:
+def _send(block: pa.Table, words: pa.Table, word_buckets: int, buckets: int, hot: int, begins: int, total: int, distinct: int, kind: pa.DataType) -> pa.Table:
     """A block's bigrams, a row a bucket, and a row with what its documents need no bigrams for."""
     r = block.to_pylist()[0]
     t, sizes, held = unpack(r["tokens"]), unpack(r["sizes"]), unpack(r["held"])
-    n_docs, n_words = len(sizes), len(unpack(r["vocabulary"]))
+    hashes = unpack(r["vocabulary"])
+    n_docs, n_words = len(sizes), len(hashes)
     number, count = np.full(n_words + 1, _UNKNOWN), np.zeros(n_words + 1, np.int64)
-    if len(words):
-        number[words["pos"].to_numpy()], count[words["pos"].to_numpy()] = words["number"].to_numpy(), words["c"].to_numpy()
+    order, ends = _by_bucket(hashes, word_buckets)
+    for k, numbers, counts in zip(words["bucket"].to_pylist(), words["numbers"].to_pylist(), words["counts"].to_pylist(), strict=True):
+        mine = order[ends[k] : ends[k + 1]]
+        number[mine], count[mine] = unpack(numbers), unpack(counts)
     number[n_words], count[n_words] = _BEGIN, begins
     doc, starts = np.repeat(np.arange(n_docs), sizes), np.cumsum(sizes) - sizes
     ctx = np.concatenate([[0], t[:-1]])
@@ -255,18 +272,17 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     blocks = stored(_blocks(docs, held_out, id_col, text_col, block), "blocks")
-    ranked = _ranked_words(blocks)
-    sizes = ranked.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.col("h") == _hash(b""), F.col("c"))), *[F.count_if(F.col("c") == r) for r in range(1, K + 2)]).first()
-    total, distinct, begins = (int(x or 0) for x in sizes[:3])
-    n = [0, *map(int, sizes[3:])]
-    words = Words(total, n, discounts(n))
-    buckets = max(partitions(spark), -(-total // bucket))
+    most = max(partitions(spark), -(-int(blocks.agg(F.sum("n")).first()[0] or 0) // bucket))
+    sent = blocks.select("block", "held", "sizes", "vocabulary", "tokens").mapInArrow(lambda b: _send_words(b, most), "bucket long, block long, hashes binary, counts binary")
+    table = sent.groupBy("bucket").applyInArrow(lambda t: _merge_words(t, most), "bucket long, for long, numbers binary, counts binary, stats array<long>")
+    told = stored(table, "words")
+    stats = told.where("stats is not null").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(K + 4)]).first()
+    *n, distinct, total, begins = (int(x or 0) for x in stats)
+    words = Words(total, [0, *n], discounts([0, *n]))
     arrow = _arrow(kind)
-    asked = blocks.select("held", "sizes", "vocabulary", "tokens", "block").mapInArrow(_words, "block long, pos long, h long, c long").select("block", "pos", "h")
-    told = asked.join(ranked, "h").select(F.col("block").alias("for"), "pos", "number", "c")
     doc = f"struct<idx: long, id: {kind.simpleString()}, held_out: boolean, n_tokens: long, n_known: long, base_score: double>"
-    sent = blocks.groupBy("block").cogroup(told.groupBy("for")).applyInArrow(
-        lambda b, w: _send(b, w, buckets, spread_over, begins, total, distinct, arrow), f"bucket long, block long, docs array<{doc}>, " + ", ".join(f"{x} binary" for x in _ARRAYS),
+    sent = blocks.groupBy("block").cogroup(told.drop("stats").groupBy("for")).applyInArrow(
+        lambda b, w: _send(b, w, most, most, spread_over, begins, total, distinct, arrow), f"bucket long, block long, docs array<{doc}>, " + ", ".join(f"{x} binary" for x in _ARRAYS),
     )
     hot = "array<struct<ctx: long, ctx_count: long, m: array<long>, many: long, q: double>>"
     merged = sent.groupBy("bucket").applyInArrow(
@@ -274,6 +290,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     )
     bigrams = stored(merged, "bigrams")
     forget(spark, blocks)
+    forget(spark, told)
     n2 = [int(x or 0) for x in bigrams.agg(*[F.sum(F.get("n", F.lit(r))) for r in range(K + 2)]).first()]
     d = discounts(n2)
 
@@ -294,6 +311,3 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     about = bigrams.where("docs is not null").select(F.get("blocks", F.lit(0)).alias("block"), F.inline("docs"))
     return about.join(scores, ["block", "idx"]).select("id", "held_out", "n_tokens", "n_known", F.lit(total).alias("train_tokens"), "base_score", "score")
 
-
-def _hash(word: bytes) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(word, 42)], np.uint64).view(np.int64)[0])

@@ -309,5 +309,5 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     parts = bigrams.where("docs is null").drop("docs", "n", "hot").join(backs, "bucket", "left").mapInArrow(run, "block long, idx long, part double")
     scores = parts.groupBy("block", "idx").agg(F.sum("part").alias("score"))
     about = bigrams.where("docs is not null").select(F.get("blocks", F.lit(0)).alias("block"), F.inline("docs"))
-    return about.join(scores, ["block", "idx"]).select("id", "held_out", "n_tokens", "n_known", F.lit(total).alias("train_tokens"), "base_score", "score")
+    return about.join(scores, ["block", "idx"]).select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

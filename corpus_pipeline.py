@@ -36,10 +36,12 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without an id stay."""
+    """Of each group of near copies the document with the smallest id, once if its row is repeated. Rows without an
+    id stay, once for each text."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"), **NEAR)
     gone = found.where("id is not null and id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__no_id", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
+    return kept.dropDuplicates(["doc_id", "__no_id"]).drop("__no_id")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

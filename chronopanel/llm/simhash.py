@@ -79,19 +79,15 @@ def _bounds(segments: int) -> list[int]:
     return [64 * i // segments for i in range(segments + 1)]
 
 
-def _keys(fp: Column, segments: int, sets: list[tuple[int, ...]]) -> Column:
-    """All keys of a fingerprint: the number of start and set, then the bits of the set's segments."""
-    cut = _bounds(segments)
-    part = lambda i: F.shiftrightunsigned(fp, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1))
-    keys = []
+def _keys(segments: int, sets: list[tuple[int, ...]]) -> Column:
+    """An array of (start, number, mask) for each start and set: mask has the bits of the set's segments."""
+    cut, out = _bounds(segments), []
     for start in range(segments):
         for n, chosen in enumerate(sets):
-            key = F.lit(start * len(sets) + n)
-            for i in chosen:
-                at = (start + i) % segments
-                key = key * (1 << (cut[at + 1] - cut[at])) + part(at)
-            keys.append(F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(start * len(sets) + n), key.cast("long")).alias("key")))
-    return F.array(*keys)
+            at = [(start + i) % segments for i in chosen]
+            mask = sum((1 << cut[i + 1]) - (1 << cut[i]) for i in at)
+            out.append(F.struct(F.lit(start).alias("start"), F.lit(start * len(sets) + n).alias("number"), F.lit(mask - (mask >> 63 << 64)).cast("long").alias("mask")))
+    return F.array(*out)
 
 
 def _linked(start: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, segments: int) -> np.ndarray:
@@ -135,7 +131,7 @@ def _stars(cells: np.ndarray, start: np.ndarray, fp: np.ndarray, distance: int,
 def links(points: DataFrame, distance: int, segments: int, sets: list[tuple[int, ...]]) -> DataFrame:
     """Edges (u, v), u > v, that join all fingerprints (column fp, distinct) within the distance, as stars: the same
     components as all pairs have."""
-    keys = points.select("fp", F.inline(_keys(F.col("fp"), segments, sets)))
+    keys = points.select("fp", F.inline(_keys(segments, sets))).select("fp", "start", F.xxhash64("number", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     sizes = keys.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("sides", F.ceil(F.col("n") / CELL).cast("int"))
     side = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("sides")).cast("int")
     placed = keys.join(sizes, ["start", "key"]).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
@@ -167,7 +163,7 @@ def links(points: DataFrame, distance: int, segments: int, sets: list[tuple[int,
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of edges but the least of its component, with that least node. Alternates stars around larger
     and around smaller neighbours until nothing changes."""
-    state = None
+    edges, state = stored(edges, "links"), None  # each round reads its edges several times
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -176,8 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = stored(small, "stars")
         now = tuple(after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state is not None:
-            forget(edges.sparkSession, edges)
+        forget(edges.sparkSession, edges)
         edges = after
         if now == state:
             return edges

@@ -134,7 +134,8 @@ def links(points: DataFrame, distance: int, segments: int, sets: list[tuple[int,
     keys = points.select("fp", F.inline(_keys(segments, sets))).select("fp", "start", F.xxhash64("number", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     sizes = keys.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("sides", F.ceil(F.col("n") / CELL).cast("int"))
     side = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("sides")).cast("int")
-    placed = keys.join(sizes, ["start", "key"]).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    # Spark's estimate of sizes knows nothing of the keys each fingerprint has, so it is kept from broadcasting them.
+    placed = keys.join(sizes.hint("merge"), ["start", "key"]).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     cells = placed.select("start", "fp", F.xxhash64("start", "key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
     cells = cells.repartition("cell").sortWithinPartitions("cell", "fp")
 

@@ -242,7 +242,8 @@ def _merge(got: pa.Table, words: Words, limit: int, kind: pa.DataType) -> pa.Tab
 
 
 def _parts(r: dict, words: Words, d: np.ndarray, limit: int) -> pa.RecordBatch:
-    """(block, idx, part): what a bucket's bigrams add to the scores of the documents that hold them."""
+    """(block, idx, part), a row a block: what a bucket's bigrams add to the scores of the documents that hold them,
+    packed, so that rows don't grow with documents times buckets."""
     grams, heads, count, ctx_count = (unpack(r[x]) for x in ("grams", "heads", "count", "ctx_count"))
     begin = np.cumsum(grams) - grams
     left = 1 - np.add.reduceat(_scaled(d, count), begin) / np.maximum(1, ctx_count)
@@ -257,7 +258,17 @@ def _parts(r: dict, words: Words, d: np.ndarray, limit: int) -> pa.RecordBatch:
     doc = unpack(r["doc"])
     width = int(doc.max()) + 1
     key, place = np.unique(unpack(r["at"]) * width + doc, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(r["blocks"], np.int64)[key // width]), pa.array(key % width), pa.array(np.bincount(place, weights=each))], ["block", "idx", "part"])
+    sums, at = np.bincount(place, weights=each), key // width
+    some, first = np.unique(at, return_index=True)
+    cut = lambda a: pa.array([pack(x) for x in np.split(a, first[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.array(r["blocks"], np.int64)[some]), cut(key % width), cut(sums.view(np.int64))], ["block", "idx", "part"])
+
+
+def _total(got: pa.Table) -> pa.Table:
+    """(block, idx, score) of a block's documents, of which each has one part or more."""
+    idx, part = (np.concatenate([unpack(x.as_py()) for x in got[c]]) for c in ("idx", "part"))
+    doc, place = np.unique(idx, return_inverse=True)
+    return pa.table({"block": pa.array([got["block"][0].as_py()] * len(doc), pa.int64()), "idx": doc, "score": np.bincount(place, weights=part.view(np.float64))})
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, spread_over: int = HOT, bucket: int = BUCKET) -> DataFrame:
@@ -306,8 +317,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             for i in range(b.num_rows):
                 yield _parts(b.slice(i, 1).to_pylist()[0], words, d, spread_over)
 
-    parts = bigrams.where("docs is null").drop("docs", "n", "hot").join(backs, "bucket", "left").mapInArrow(run, "block long, idx long, part double")
-    scores = parts.groupBy("block", "idx").agg(F.sum("part").alias("score"))
+    parts = bigrams.where("docs is null").drop("docs", "n", "hot").join(backs, "bucket", "left").mapInArrow(run, "block long, idx binary, part binary")
+    scores = parts.groupBy("block").applyInArrow(_total, "block long, idx long, score double")
     about = bigrams.where("docs is not null").select(F.get("blocks", F.lit(0)).alias("block"), F.inline("docs"))
     return about.join(scores, ["block", "idx"]).select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

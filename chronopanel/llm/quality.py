@@ -40,7 +40,7 @@ def repeated_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     first, span = number, 1
     key = doc * (first.max() + 1) + first  # a word of one text is another than that of the next
     first = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while span < WINDOW:
+    while span < WINDOW and len(first):  # fewer words than a window leave nothing to pair
         pair = first[:-span] * (first.max() + 1) + first[span:]
         first = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         span *= 2

@@ -158,6 +158,14 @@ def test_quality(odd, odd_rows, empty):
     assert quality.judge(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", range(10))
+def test_quality_of_a_few_words(spark, n):
+    assert [x.tolist() for x in quality.repeated_words([[b"hi"] * n])] == [[9 if n == 9 else 0], [min(n, 1)]]
+    if n in (1, 9):
+        got = rows(quality.judge(spark.createDataFrame([(1, "hi " * n)], "doc_id long, text string")).select("n_words", "n_repeat_words", "base_failed", "kept"))
+        assert got == [(n, 9 if n == 9 else 0, True, False)]
+
+
 def test_votes_recover_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20000) < 0.7

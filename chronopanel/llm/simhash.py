@@ -9,6 +9,12 @@ by the whole chain from that start, and what is left is compared in full.
 Only distinct fingerprints are compared. A key that more than CELL of them share is cut into a grid of cells, which
 different tasks compare; all pairs of its members meet in one cell. A task does not emit its links but a star over each
 set of linked fingerprints, so that large groups of near copies give as many rows as they have members.
+
+Fingerprints near each other tell little about Jaccard similarities near 0.8. Where a least similarity is asked for, they
+are a first pass only: their links are verified on the sets of shingles, and an exact set join finds all pairs that the
+verified links leave apart. A set's shingles are ordered by (weight, hash), the weights being counts of frequent ones, and
+two sets of the similarity share one of their first n - ceil(t * n) + 1 (prefix filter). Sizes and places in the order
+prune (length and positional filter), the whole sets verify. Sets are of 64-bit hashes of shingles and stand for them.
 """
 
 from __future__ import annotations
@@ -26,25 +32,38 @@ from .common import forget, stored
 
 #: The largest number of fingerprints in one side of a cell.
 CELL = 1000
+#: Shingles of a chunk in which frequent ones are counted, the least count there, and how many get a weight. Any weights
+#: give the same pairs; these keep common passages out of the prefixes.
+CHUNK, OFTEN, HEAVY = 2_000_000, 5, 50_000
 _SEED = 42
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """64 bits, signed. Null and empty texts, and texts without words, have 0."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the runs of words, as often as they stand; of all words if there are fewer, none for texts without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(size + 1) - 1
     w = min(words, len(tokens))
     starts, stops = (ends - size)[: len(tokens) - w + 1], ends[w - 1 :]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], _SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def _mark(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 65536):
-        h = np.array([digest(joined[a:b], _SEED) for a, b in zip(starts[at : at + 65536].tolist(), stops[at : at + 65536].tolist(), strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.int64)[0])
+    for at in range(0, len(h), 65536):
+        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """64 bits, signed. Null and empty texts, and texts without words, have 0."""
+    return _mark(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,20 +199,186 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, sid, set) of every row: its distinct shingles, sorted, and their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                runs = [shingles(t.as_py(), words) for t in part["text"]]
+                sets = [np.unique(h).view(np.int64) for h in runs]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                sid = np.array([xxhash.xxh64_intdigest(x.tobytes(), _SEED) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([_mark(h) for h in runs], pa.int64()), pa.array(sid), pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["id", "fp", "sid", "set"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sid long, set array<long>")
+
+
+def _weights(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and their counts; at most HEAVY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= OFTEN]), pa.array(n[n >= OFTEN])], ["h", "n"])
+
+        for b in batches:
+            held.append(b["set"].flatten().to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= CHUNK:
+                yield done()
+                held = []
+        if held:
+            yield done()
+
+    found = sets.select("set").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
+    h, n = (np.array(found[c].to_numpy(), np.int64) for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(h: np.ndarray, heavy: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the order by (weight, hash), of which a set of the similarity must share one."""
+    at = np.minimum(np.searchsorted(heavy, h), max(0, len(heavy) - 1))
+    mine = np.where(heavy[at] == h, weight[at], 0) if len(heavy) else np.zeros(len(h), np.int64)
+    return h[np.lexsort((h, mine))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of sids whose sets have the similarity."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("set").alias(f"s{c}"))
+    both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common + 1e-9 >= least * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, least: float, star: bool) -> np.ndarray:
+    """Pairs of rows of one cell, of different parts, that sizes and places in the order allow; with star only those
+    with the cell's first row."""
+
+    def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        common = np.ceil(least / (1 + least) * (size[a] + size[b]) - 1e-9)
+        ok = (part[a] != part[b]) & (np.minimum(size[a], size[b]) + 1e-9 >= least * np.maximum(size[a], size[b]))
+        ok &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= common
+        return np.stack([a[ok], b[ok]])
+
+    if star:
+        return allowed(np.searchsorted(cells, cells), np.arange(len(cells)))
+    at, step, found = np.arange(len(cells) - 1), 1, [np.zeros((2, 0), np.int64)]
+    while len(at := at[at + step < len(cells)]) and len(at := at[cells[at] == cells[at + step]]):
+        found.append(allowed(at, at + step))
+        step += 1
+    return np.concatenate(found, axis=1)
+
+
+def _members(sets: DataFrame, least: float) -> DataFrame:
+    """(key, sid, pos, n): the first shingles of each set (sid, set) that others have among theirs, places and sizes."""
+    spark = sets.sparkSession
+    heavy, weight = _weights(sets)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                cut = b.slice(at, 500)
+                whole = np.array_split(cut["set"].flatten().to_numpy(zero_copy_only=False), np.cumsum(n := cut["set"].value_lengths().to_numpy(zero_copy_only=False))[:-1])
+                firsts = [prefix(h, heavy, weight, least) if len(h) else h for h in whole]
+                times = [len(x) for x in firsts]
+                pos = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).astype(np.int64)), pa.array(np.repeat(cut["sid"].to_numpy(), times)), pa.array(pos), pa.array(np.repeat(n, times).astype(np.int32))], ["key", "sid", "pos", "n"])
+
+    keys = sets.select("sid", "set").mapInArrow(send, "key long, sid long, pos int, n int")
+    keys = stored(keys, "keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    members = stored(keys.join(shared.hint("merge"), "key"), "members")
+    forget(spark, keys)
+    return members
+
+
+def candidates(members: DataFrame, parts: DataFrame, least: float, star: bool) -> DataFrame:
+    """(u, v), u > v, distinct: all pairs of sets of the similarity whose parts (sid, part; else the sid) differ, and
+    others that the filters let pass; with star only pairs with one member of each cell, at most a row a member."""
+    members = members.join(parts.hint("merge"), "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    # Only keys whose members are not one part already.
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key", F.ceil(F.col("times") / CELL).cast("int").alias("sides"))
+    side = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("sides")).cast("int")
+    placed = members.join(sizes.hint("merge"), "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    cells = placed.select("sid", "pos", "n", "part", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell")).repartition("cell").sortWithinPartitions("cell", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done(cell: np.ndarray, sid: np.ndarray, pos: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            a, b = _apart(cell, n, pos, part, least, star)
+            pairs = np.unique(np.stack([np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+        for b in batches:
+            held.append(np.stack([b[c].to_numpy().astype(np.int64) for c in ("cell", "sid", "pos", "n", "part")]))
+            if sum(h.shape[1] for h in held) >= 50_000:
+                rows = np.concatenate(held, axis=1)
+                whole = np.searchsorted(rows[0], rows[0, -1])  # the last cell may go on
+                held = [rows[:, whole:]]
+                if whole:
+                    yield done(*rows[:, :whole])
+        if held:
+            yield done(*np.concatenate(held, axis=1))
+
+    return cells.mapInArrow(run, "u long, v long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 4, distance: int = 4, segments: int = 10, reach: int = 4, equal: int = 3,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None,
 ) -> DataFrame:
     """(id, fp, component) of every row: component is the smallest id that a chain of links reaches, itself included.
 
-    Rows with equal fingerprints are linked. Null texts count as empty; texts without words have fingerprint 0, and
-    are linked like any other. A null id is never the smallest; the component is null only if all its ids are. Repeated
-    rows are kept. Other columns are not read.
+    Links are fingerprints within the distance or, if jaccard is given, exactly the pairs whose sets of shingles have
+    that similarity or more. Rows with equal fingerprints (with jaccard, equal sets) are linked. Null texts count as
+    empty; texts without words have fingerprint 0, and are linked like any other. A null id is never the smallest; the
+    component is null only if all its ids are. Repeated rows are kept. Other columns are not read.
     """
+    sets = key_sets(distance, segments, reach, equal)
+    if jaccard is not None:
+        return _exact(docs, words, distance, segments, sets, id_col, text_col, jaccard)
     marks = stored(fingerprints(docs, words, id_col, text_col), "simhash")
     points = stored(marks.groupBy("fp").agg(F.min("id").alias("least")), "points")
-    stars = components(links(points, distance, segments, key_sets(distance, segments, reach, equal)))
+    stars = components(links(points, distance, segments, sets))
     placed = points.join(stars.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("centre"))
     names = placed.groupBy("centre").agg(F.min("least").alias("component"))
     classes = stored(placed.join(names, "centre").select("fp", "component"), "classes")
     return marks.join(classes, "fp").select("id", "fp", "component")
+
+
+def _exact(docs: DataFrame, words: int, distance: int, segments: int, keys: list[tuple[int, ...]], id_col: str, text_col: str, least: float) -> DataFrame:
+    spark = docs.sparkSession
+    all_sets = stored(_sets(docs, words, id_col, text_col), "shingles")
+    marks = stored(all_sets.select("id", "fp", "sid"), "simhash")
+    sets = stored(all_sets.select("sid", "set").dropDuplicates(["sid"]), "sets")
+    forget(spark, all_sets)
+    points = stored(marks.groupBy("sid").agg(F.first("fp").alias("fp"), F.min("id").alias("least")), "points")
+    firsts = stored(points.groupBy("fp").agg(F.min("sid").alias("sid")), "marks")
+
+    # First pass: fingerprints within the distance, and sets of one fingerprint.
+    near = links(firsts.select("fp"), distance, segments, keys)
+    of = lambda fp, sid: firsts.select(F.col("fp").alias(fp), F.col("sid").alias(sid))
+    near = near.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    same = points.join(firsts.withColumnRenamed("sid", "b"), "fp").where("sid <> b").select(F.col("sid").alias("a"), "b")
+    first = near.unionByName(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    first = stored(_verified(first, sets, least), "first")
+
+    # The rest, exactly: stars join what is left of large groups, then all pairs that are still apart.
+    members = _members(sets, least)
+    for star in (True, True, False):
+        parts = components(first)
+        rest = stored(candidates(members, parts.select(F.col("u").alias("sid"), F.col("v").alias("part")), least, star), "candidates")
+        first = stored(first.unionByName(_verified(rest, sets, least)), "found")
+    forget(spark, sets)
+    forget(spark, members)
+    stars = components(first)
+    placed = points.join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left").select("sid", "least", F.coalesce("v", "sid").alias("centre"))
+    names = placed.groupBy("centre").agg(F.min("least").alias("component"))
+    classes = stored(placed.join(names, "centre").select("sid", "component"), "classes")
+    return marks.join(classes, "sid").select("id", "fp", "component")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from chronopanel.llm import line_dedup, mixing, quality, queries, simhash
 from chronopanel.llm.common import stored, table
 
-#: Near copies: shingles of five words, fingerprints that differ in at most 7 of 64 bits. For texts of some hundred words
-#: that is a cosine of about 0.94 or a Jaccard similarity of about 0.89; pairs near 0.8 can lie beyond it.
-NEAR = {"words": 5, "distance": 7, "segments": 16, "reach": 6, "equal": 4}
+#: Near copies: shingles of five words, Jaccard similarity of 0.8 or more. Fingerprints that differ in at most 7 of 64 bits
+#: are the first pass; an exact join finds what lies beyond them.
+NEAR = {"words": 5, "distance": 7, "segments": 16, "reach": 6, "equal": 4, "jaccard": 0.8}
 
 #: The mixture: half of what is left, no document twice.
 MIX_FRACTION, MIX_EPOCHS = 0.5, 1

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chronopanel.llm import byte_bpe, katz, license_scan, line_dedup, mixing, quality, queries, simhash, token_counts, topk, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,6 +140,39 @@ def test_links_find_every_pair(spark):
         assert len({(label[m], find(m)) for m in marks}) == len(set(label.values())) == len({find(m) for m in marks})
 
 
+@pytest.mark.parametrize("heavy", [0, 50])
+def test_near_duplicates_by_jaccard(spark, odd, odd_rows, empty, monkeypatch, heavy):
+    monkeypatch.setattr(simhash, "CELL", 5)  # so that keys are cut into cells
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    rng, texts = np.random.default_rng(4), [t for _, t, *_ in odd_rows]
+    for _ in range(30):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for edits in (0, 1, 2, 3, 4, 5, 6):
+            v = list(w)
+            for at in rng.choice(200, edits, replace=False):
+                v[at] = "new"
+            texts.append(" ".join(v))
+    ids = [r[0] for r in odd_rows] + list(range(1000, 1000 + len(texts) - len(odd_rows)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    root = list(range(len(sets)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    beyond = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (not a and not sets[j]) or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
+                root[find(i)] = find(j)
+                beyond += (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 7
+    assert beyond > 50  # pairs that fingerprints miss
+    least = defaultdict(list)
+    for i, d in enumerate(ids):
+        least[find(i)].append(d)
+    want = [(d, min((x for x in least[find(i)] if x is not None), default=None)) for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = rows(simhash.near_duplicates(docs, **corpus_pipeline.NEAR).select("id", "component"))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert simhash.near_duplicates(empty, **corpus_pipeline.NEAR).count() == 0
+
+
 def brute_counts(text):
     t = text or ""
     w = WORD.findall(t)

@@ -1,7 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a stretch of at most BLOCK words of a longer line, each half overlapping the next. It matches a
-template if it holds at least the threshold's share of the template's distinct words. Words of the templates are ordered
+A block is a line, or a stretch of at most BLOCK words of a longer line or of the whole text regardless of line ends,
+each half overlapping the next; every run of words up to half of BLOCK, as any template is, lies in one of these, however
+it is wrapped. A block matches a template if it holds at least the threshold's share of the template's distinct words. Words of the templates are ordered
 by how many blocks of the corpus hold them, rarest first. With o words needed of n, a match must share one of the
 template's first n - o + 1 words (prefix filter), must have o words itself (length filter), and from the first shared
 word on both must have enough words left (positional filter). Pairs that pass are verified by full intersection.
@@ -57,8 +58,9 @@ def _places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[tuple[
 
 
 def _blocks(plain: bytes, block: int) -> Iterator[set[bytes]]:
-    for line in plain.split(b"\n"):
-        words = line.split()
+    lines = [line.split() for line in plain.split(b"\n")]
+    whole = [w for words in lines for w in words]
+    for words in lines if len(lines[0]) == len(whole) else [*lines, whole]:
         for at in range(0, max(1, len(words) - block // 2), block // 2) if len(words) > block else (0,):
             yield set(words[at : at + block])
 
@@ -78,6 +80,7 @@ def scan(
     number = {w: i for i, w in enumerate(sorted({w for _, s in sets for w in s}))}
     need = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
     least = min(need, default=1)
+    block = max(block, 2 * max((len(words_of(t)) for _, t in templates), default=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -249,6 +249,20 @@ def test_license_scan(odd, odd_rows, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    rng = np.random.default_rng(5)
+    docs = []
+    for label, text in license_scan.TEMPLATES:
+        for width in (1, 2, 5, 9):
+            around = [[f"x{x}" for x in rng.integers(0, 1000, n)] for n in rng.integers(0, 100, 2)]
+            w = [*around[0], *text.split(), *around[1]]
+            docs.append((label, "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))))
+    got = rows(license_scan.scan(spark.createDataFrame(docs, "doc_id string, text string")).select("id", "labels", "score"))
+    assert len(got) == len(docs) and all(i in labels and score == 1 for i, labels, score in got)
+    again = rows(license_scan.scan(spark.createDataFrame([(1, docs[4][1])], "doc_id long, text string"), block=8).select("labels"))
+    assert "mit" in again[0][0]  # a block is never shorter than twice a template
+
+
 def test_byte_bpe(odd, odd_rows, empty):
     import tiktoken
 

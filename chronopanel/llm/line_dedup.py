@@ -19,23 +19,29 @@ _GAP = r"[\x20\x09-\x0D]+"
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def template(line: Column) -> Column:
-    """The line's tokens with single spaces between, variable fields as <*>; lines that need no change cost two scans."""
-    fields = F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
+def template(line: Column, literal: bool = False) -> Column:
+    """The line's tokens with single spaces between, variable fields as <*>; lines that need no change cost two scans.
+    With literal, lines with fewer literal tokens than variable fields keep their fields."""
+    masked = F.regexp_replace(line, _VARIABLE, "<*>")
+    if literal:
+        # A one-element array binds the masked line, so that it is worked out once.
+        masked = F.get(F.transform(F.array(masked), lambda m: F.when(2 * (F.length(m) - F.length(F.replace(m, F.lit("<*>"), F.lit("")))) / 3 > F.regexp_count(m, F.lit(r"[^\x20\x09-\x0D]+")), line).otherwise(m)), F.lit(0))
+    fields = F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(line)
     return F.when(F.regexp_like(line, F.lit(r"[\x09-\x0D]|  |^ | $")), F.regexp_replace(F.regexp_replace(fields, _GAP, " "), "^ | $", "")).otherwise(fields)
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_words: int = 1) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_words: int = 1, literal: bool = False) -> DataFrame:
     """docs, all columns, with recurring lines cut from the text; what stays keeps its order and its line ends.
 
     A document is a row's (id, text), so repeated rows are one document and get the same result. Lines without a token
     or with fewer than min_words tokens stay, unless the whole text goes: a document that keeps no line with a token
-    gets the text "". Null texts stay null, null ids take part like any id and count as the smallest. Extra columns are
-    passed through.
+    gets the text "". With literal, lines with fewer literal tokens than variable fields, as rows of numbers, recur only
+    if their fields are equal too; without it, different numbers on lines of their own are one template. Null texts stay
+    null, null ids take part like any id and count as the smallest. Extra columns are passed through.
     """
     me = [F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__mark")]
     # Generated rows hold their template as a value, so that nothing after this works it out again.
-    leaves = F.transform(F.split(text_col, "\n", -1), template)
+    leaves = F.transform(F.split(text_col, "\n", -1), lambda x: template(x, literal))
     lines = docs.where(F.col(text_col).isNotNull()).select(*me, F.posexplode(leaves).alias("__no", "__plain")).where("__plain <> ''")
     count = F.length("__plain") - F.length(F.replace("__plain", F.lit(" "), F.lit(""))) + 1
     if min_words > 1:

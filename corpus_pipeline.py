@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without recurring lines; one that has nothing else left goes."""
-    return line_dedup.drop_recurring_lines(docs).where("text <> ''")
+    return line_dedup.drop_recurring_lines(docs, literal=True).where("text <> ''")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

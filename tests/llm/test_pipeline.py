@@ -34,3 +34,10 @@ def test_stages(spark, docs):
 def test_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_lines_of_numbers_stay(spark):
+    texts = {1: "12 34.5 v6\npage 7 of this text\n2024-01-02", 2: "98  76.5 v4\npage 8 of this text\n2024-01-03", 3: "12 34.5  v6\nall else"}
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts.items()], COLUMNS)
+    got = {r[0]: r[1] for r in corpus_pipeline.line_templates(spark, docs, "").collect()}
+    assert got == {1: texts[1], 2: "98  76.5 v4\n2024-01-03", 3: "all else"}

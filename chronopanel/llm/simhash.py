@@ -6,9 +6,12 @@ found by equality: among the first segments of such a chain only certain pattern
 few sets of equal segments cover them all, and each start and set gives one exact key. Pairs that share a key are pruned
 by the whole chain from that start, and what is left is compared in full.
 
-Only distinct fingerprints are compared. A key that more than CELL of them share is cut into a grid of cells, which
-different tasks compare; all pairs of its members meet in one cell. A task does not emit its links but a star over each
-set of linked fingerprints, so that large groups of near copies give as many rows as they have members.
+Only distinct fingerprints are compared, and keys take more segments the more fingerprints there are, so that fingerprints
+without near ones share few keys. A key that more than CELL of them share all the same is not compared pair by pair.
+Its members are enumerated: two fingerprints are within the distance exactly if some point lies within half the distance
+of each, so each member sends the points of its ball, and all that meet in a point are joined to one of them. That is a
+fixed number of rows a member, however many share the key. A task does not emit its links but a star over each set of
+linked fingerprints, so that large groups of near copies give as many rows as they have members.
 
 Fingerprints near each other tell little about Jaccard similarities near 0.8. Where a least similarity is asked for, they
 are a first pass only: their links are verified on the sets of shingles, and an exact set join finds all pairs that the
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, stored
 
-#: The largest number of fingerprints in one side of a cell.
-CELL = 1000
+#: The most fingerprints of a key that are compared pair by pair, about as many as a ball of radius two has points; and
+#: how many may share a key by chance before keys take more segments.
+CELL, CHANCE = 2048, 64
 #: Shingles of a chunk in which frequent ones are counted, the least count there, and how many get a weight. Any weights
 #: give the same pairs; these keep common passages out of the prefixes.
 CHUNK, OFTEN, HEAVY = 2_000_000, 5, 50_000
@@ -94,6 +98,22 @@ def key_sets(distance: int, segments: int, reach: int, equal: int) -> list[tuple
     return chosen
 
 
+def choose_keys(distance: int, segments: int, points: int) -> list[tuple[int, ...]]:
+    """The key sets with the fewest equal segments by which at most CHANCE of so many random points share a key, or those
+    with the most there are."""
+    found: list[tuple[int, ...]] = []
+    for equal in range(1, segments):
+        for reach in range(equal, min(segments, 10) + 1):
+            try:
+                found = key_sets(distance, segments, reach, equal)
+            except ValueError:
+                continue
+            if points >> (64 * equal // segments) <= CHANCE and equal > 2:
+                return found
+            break
+    return found
+
+
 def _bounds(segments: int) -> list[int]:
     return [64 * i // segments for i in range(segments + 1)]
 
@@ -122,62 +142,97 @@ def _linked(start: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, segm
     return alive[np.bitwise_count(x[alive]) <= distance]
 
 
-def _stars(cells: np.ndarray, start: np.ndarray, fp: np.ndarray, distance: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """cells: sorted group numbers. (member, centre) of each set of linked fingerprints within a cell."""
-    n = len(fp)
-    root = np.arange(n)
-    at, step, found = np.arange(n - 1), 1, []
-    while len(at := at[at + step < n]) and len(at := at[cells[at] == cells[at + step]]):
-        for piece in np.array_split(at, -(-len(at) // 500_000)):
-            hit = piece[_linked(start[piece], fp[piece], fp[piece + step], distance, segments)]
-            found.append(np.stack([hit, hit + step]))
-        step += 1
-    if not found:
-        return fp[:0], fp[:0]
-    a, b = np.concatenate(found, axis=1)
+def _contracted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges between values, as stars over the sets that they join: (u, v), u > v."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(names))
     while True:
         least = np.minimum(root[a], root[b])
         before = root.copy()
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
         root = root[root]
         if (root == before).all():
             break
-    member = np.flatnonzero(root != np.arange(n))
-    return fp[member], fp[root[member]]
+    member = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[member]), pa.array(names[root[member]])], ["u", "v"])
 
 
-def links(points: DataFrame, distance: int, segments: int, sets: list[tuple[int, ...]]) -> DataFrame:
-    """Edges (u, v), u > v, that join all fingerprints (column fp, distinct) within the distance, as stars: the same
-    components as all pairs have."""
-    keys = points.select("fp", F.inline(_keys(segments, sets))).select("fp", "start", F.xxhash64("number", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    sizes = keys.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("sides", F.ceil(F.col("n") / CELL).cast("int"))
-    side = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("sides")).cast("int")
-    # Spark's estimate of sizes knows nothing of the keys each fingerprint has, so it is kept from broadcasting them.
-    placed = keys.join(sizes.hint("merge"), ["start", "key"]).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cells = placed.select("start", "fp", F.xxhash64("start", "key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "fp")
+def _close(cells: np.ndarray, start: np.ndarray, fp: np.ndarray, distance: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """cells: sorted group numbers. Places of all pairs within a cell that are within the distance."""
+    at, step, found = np.arange(len(fp) - 1), 1, [np.zeros((2, 0), np.int64)]
+    while len(at := at[at + step < len(fp)]) and len(at := at[cells[at] == cells[at + step]]):
+        for piece in np.array_split(at, -(-len(at) // 500_000)):
+            hit = piece[_linked(start[piece], fp[piece], fp[piece + step], distance, segments)]
+            found.append(np.stack([hit, hit + step]))
+        step += 1
+    return np.concatenate(found, axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def done(cell: np.ndarray, start: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            u, v = _stars(cell, start, fp.view(np.uint64), distance, segments)
-            u, v = u.view(np.int64), v.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+def _by_runs(columns: list[str], work, most: int = 50_000):  # noqa: ANN001, ANN202
+    """A function of batches of long columns that are sorted by the first: work gets whole runs of equal values of it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for b in batches:
-            held.append(np.stack([b[c].to_numpy().astype(np.int64) for c in ("cell", "start", "fp")]))
-            if sum(h.shape[1] for h in held) >= 50_000:
+            held.append(np.stack([b[c].to_numpy().astype(np.int64) for c in columns]))
+            if sum(h.shape[1] for h in held) >= most:
                 rows = np.concatenate(held, axis=1)
-                whole = np.searchsorted(rows[0], rows[0, -1])  # the last cell may go on
+                whole = np.searchsorted(rows[0], rows[0, -1])  # the last run may go on
                 held = [rows[:, whole:]]
                 if whole:
-                    yield done(*rows[:, :whole])
+                    yield work(*rows[:, :whole])
         if held:
-            yield done(*np.concatenate(held, axis=1))
+            yield work(*np.concatenate(held, axis=1))
+
+    return run
+
+
+def ball(radius: int) -> np.ndarray:
+    """Masks of at most radius bits, by their number of bits."""
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], np.uint64)
+
+
+def crowd_links(crowd: DataFrame, distance: int) -> DataFrame:
+    """Edges as of links() between fingerprints (column fp, distinct), by the points that lie between them."""
+    inner, masks = distance // 2, ball(-(-distance // 2))
+    far = (np.bitwise_count(masks) > inner).astype(np.int8)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b["fp"].to_numpy().view(np.uint64)
+            step = max(1, 500_000 // len(masks))
+            for at in range(0, len(fps), step):
+                some = fps[at : at + step]
+                yield pa.RecordBatch.from_arrays([pa.array((some[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.tile(far, len(some))), pa.array(np.repeat(some, len(masks)).view(np.int64))], ["mid", "far", "fp"])
+
+    def meet(mid: np.ndarray, far: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        head = np.searchsorted(mid, mid)  # the first of the run is the nearest to its point
+        ok = (far[head] == 0) & (fp != fp[head])
+        return _contracted(fp[ok], fp[head[ok]])
+
+    mids = crowd.mapInArrow(send, "mid long, far byte, fp long").repartition("mid").sortWithinPartitions("mid", "far", "fp")
+    return mids.mapInArrow(_by_runs(["mid", "far", "fp"], meet), "u long, v long")
+
+
+def links(points: DataFrame, distance: int, segments: int, sets: list[tuple[int, ...]], crowded: bool = True) -> DataFrame:
+    """Edges (u, v), u > v, that join all fingerprints (column fp, distinct) within the distance, as stars: the same
+    components as all pairs have. Without crowded, keys that more than CELL share are left out."""
+    keys = points.select("fp", F.inline(_keys(segments, sets))).select("fp", "start", F.xxhash64("number", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    big = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("key"), "crowded")
+    more = None
+    if not big.isEmpty():
+        # Spark's estimate of sizes knows nothing of the keys each fingerprint has, so it is kept from broadcasting them.
+        if crowded:
+            more = crowd_links(stored(keys.join(big.hint("merge"), "key", "left_semi").select("fp").distinct(), "crowd"), distance)
+        keys = keys.join(big.hint("merge"), "key", "left_anti")
+
+    def compare(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = _close(key, start, fp.view(np.uint64), distance, segments)
+        return _contracted(fp[a], fp[b])
 
-    return cells.mapInArrow(run, "u long, v long").distinct()
+    found = keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_by_runs(["key", "start", "fp"], compare), "u long, v long")
+    return (found if more is None else found.unionByName(more)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,9 +329,8 @@ def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarra
     return np.concatenate(found, axis=1)
 
 
-def _members(sets: DataFrame, least: float) -> DataFrame:
-    """(key, sid, pos, n): the first shingles of each set (sid, set) that others have among theirs, places and sizes."""
-    spark = sets.sparkSession
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(key, sid, pos, n, part): the first shingles of each set (sid, set, part), their places and the set's size."""
     heavy, weight = _weights(sets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,72 +341,69 @@ def _members(sets: DataFrame, least: float) -> DataFrame:
                 firsts = [prefix(h, heavy, weight, least) if len(h) else h for h in whole]
                 times = [len(x) for x in firsts]
                 pos = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).astype(np.int64)), pa.array(np.repeat(cut["sid"].to_numpy(), times)), pa.array(pos), pa.array(np.repeat(n, times).astype(np.int32))], ["key", "sid", "pos", "n"])
-
-    keys = sets.select("sid", "set").mapInArrow(send, "key long, sid long, pos int, n int")
-    keys = stored(keys, "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    members = stored(keys.join(shared.hint("merge"), "key"), "members")
-    forget(spark, keys)
-    return members
-
-
-def candidates(members: DataFrame, parts: DataFrame, least: float, star: bool) -> DataFrame:
-    """(u, v), u > v, distinct: all pairs of sets of the similarity whose parts (sid, part; else the sid) differ, and
-    others that the filters let pass; with star only pairs with one member of each cell, at most a row a member."""
-    members = members.join(parts.hint("merge"), "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    # Only keys whose members are not one part already.
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key", F.ceil(F.col("times") / CELL).cast("int").alias("sides"))
-    side = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("sides")).cast("int")
-    placed = members.join(sizes.hint("merge"), "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cells = placed.select("sid", "pos", "n", "part", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell")).repartition("cell").sortWithinPartitions("cell", "sid")
+                cols = [np.concatenate(firsts).astype(np.int64), np.repeat(cut["sid"].to_numpy(), times), pos, np.repeat(n, times).astype(np.int32), np.repeat(cut["part"].to_numpy(), times)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "pos", "n", "part"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    return sets.select("sid", "set", "part").mapInArrow(send, "key long, sid long, pos int, n int, part long")
 
-        def done(cell: np.ndarray, sid: np.ndarray, pos: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-            a, b = _apart(cell, n, pos, part, least, star)
-            pairs = np.unique(np.stack([np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-        for b in batches:
-            held.append(np.stack([b[c].to_numpy().astype(np.int64) for c in ("cell", "sid", "pos", "n", "part")]))
-            if sum(h.shape[1] for h in held) >= 50_000:
-                rows = np.concatenate(held, axis=1)
-                whole = np.searchsorted(rows[0], rows[0, -1])  # the last cell may go on
-                held = [rows[:, whole:]]
-                if whole:
-                    yield done(*rows[:, :whole])
-        if held:
-            yield done(*np.concatenate(held, axis=1))
+def still_open(members: DataFrame) -> DataFrame:
+    """The members of keys whose members are not all of one part: only these can hold a pair that is still apart. Counts
+    are combined before they are shuffled, so a key of very many members costs no task more than others."""
+    keys = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("times")).where("a <> b").select("key", F.ceil(F.col("times") / CELL).cast("int").alias("sides"))
+    return members.drop("sides").join(keys.hint("merge"), "key")
+
 
-    return cells.mapInArrow(run, "u long, v long").distinct()
+def candidates(members: DataFrame, least: float, star: bool) -> DataFrame:
+    """(u, v), u > v: of open members (still_open) all pairs of sets of the similarity whose parts differ, and others that
+    the filters let pass, each once. With star each set has one pair at most, with the set that is the first of most of
+    its keys, as a cheap way to join what is left of large groups."""
+    side = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("sides")).cast("int")
+    if star:
+        placed = members.select("sid", "pos", "n", "part", F.xxhash64("key", side).alias("cell"))
+    else:
+        placed = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+        placed = placed.select("sid", "pos", "n", "part", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
+
+    def pairs(cell: np.ndarray, sid: np.ndarray, pos: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        a, b = _apart(cell, n, pos, part, least, star)
+        both, times = np.unique(np.stack([np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])], axis=1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(times)], ["u", "v", "times"])
+
+    cells = placed.repartition("cell").sortWithinPartitions("cell", "sid")
+    found = cells.mapInArrow(_by_runs(["cell", "sid", "pos", "n", "part"], pairs), "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
+    return found.groupBy("u").agg(F.max_by("v", F.struct("times", "v")).alias("v")) if star else found.select("u", "v")
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 4, distance: int = 4, segments: int = 10, reach: int = 4, equal: int = 3,
+    docs: DataFrame, words: int = 4, distance: int = 4, segments: int = 10, reach: int | None = None, equal: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None,
 ) -> DataFrame:
     """(id, fp, component) of every row: component is the smallest id that a chain of links reaches, itself included.
 
     Links are fingerprints within the distance or, if jaccard is given, exactly the pairs whose sets of shingles have
-    that similarity or more. Rows with equal fingerprints (with jaccard, equal sets) are linked. Null texts count as
-    empty; texts without words have fingerprint 0, and are linked like any other. A null id is never the smallest; the
-    component is null only if all its ids are. Repeated rows are kept. Other columns are not read.
+    that similarity or more. Rows with equal fingerprints (with jaccard, equal sets) are linked. reach and equal name the
+    keys (see key_sets); without them they follow from the number of fingerprints. Null texts count as empty; texts
+    without words have fingerprint 0, and are linked like any other; texts of any length count whole. A null id is never
+    the smallest; the component is null only if all its ids are. Repeated rows are kept, each with its row. An empty
+    table gives an empty result. Other columns are not read, whatever their names.
     """
-    sets = key_sets(distance, segments, reach, equal)
     if jaccard is not None:
-        return _exact(docs, words, distance, segments, sets, id_col, text_col, jaccard)
+        return _exact(docs, words, distance, segments, reach, equal, id_col, text_col, jaccard)
     marks = stored(fingerprints(docs, words, id_col, text_col), "simhash")
     points = stored(marks.groupBy("fp").agg(F.min("id").alias("least")), "points")
-    stars = components(links(points, distance, segments, sets))
+    stars = components(links(points, distance, segments, _chosen(points, distance, segments, reach, equal)))
     placed = points.join(stars.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("centre"))
     names = placed.groupBy("centre").agg(F.min("least").alias("component"))
     classes = stored(placed.join(names, "centre").select("fp", "component"), "classes")
     return marks.join(classes, "fp").select("id", "fp", "component")
 
 
-def _exact(docs: DataFrame, words: int, distance: int, segments: int, keys: list[tuple[int, ...]], id_col: str, text_col: str, least: float) -> DataFrame:
+def _chosen(points: DataFrame, distance: int, segments: int, reach: int | None, equal: int | None) -> list[tuple[int, ...]]:
+    return key_sets(distance, segments, reach, equal) if reach and equal else choose_keys(distance, segments, points.count())
+
+
+def _exact(docs: DataFrame, words: int, distance: int, segments: int, reach: int | None, equal: int | None, id_col: str, text_col: str, least: float) -> DataFrame:
     spark = docs.sparkSession
     all_sets = stored(_sets(docs, words, id_col, text_col), "shingles")
     marks = stored(all_sets.select("id", "fp", "sid"), "simhash")
@@ -361,8 +412,8 @@ def _exact(docs: DataFrame, words: int, distance: int, segments: int, keys: list
     points = stored(marks.groupBy("sid").agg(F.first("fp").alias("fp"), F.min("id").alias("least")), "points")
     firsts = stored(points.groupBy("fp").agg(F.min("sid").alias("sid")), "marks")
 
-    # First pass: fingerprints within the distance, and sets of one fingerprint.
-    near = links(firsts.select("fp"), distance, segments, keys)
+    # First pass: fingerprints within the distance, and sets of one fingerprint. Crowded keys are left to the set join.
+    near = links(firsts.select("fp"), distance, segments, _chosen(firsts, distance, segments, reach, equal), crowded=False)
     of = lambda fp, sid: firsts.select(F.col("fp").alias(fp), F.col("sid").alias(sid))
     near = near.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
     same = points.join(firsts.withColumnRenamed("sid", "b"), "fp").where("sid <> b").select(F.col("sid").alias("a"), "b")
@@ -370,15 +421,23 @@ def _exact(docs: DataFrame, words: int, distance: int, segments: int, keys: list
     first = stored(_verified(first, sets, least), "first")
 
     # The rest, exactly: stars join what is left of large groups, then all pairs that are still apart.
-    members = _members(sets, least)
+    members = None
     for star in (True, True, False):
-        parts = components(first)
-        rest = stored(candidates(members, parts.select(F.col("u").alias("sid"), F.col("v").alias("part")), least, star), "candidates")
-        first = stored(first.unionByName(_verified(rest, sets, least)), "found")
-    forget(spark, sets)
-    forget(spark, members)
+        parts = components(first).select(F.col("u").alias("sid"), F.col("v").alias("part"))
+        of_part = F.coalesce("part", "sid").alias("part")
+        if members is None:
+            before = stored(_prefixes(sets.join(parts.hint("merge"), "sid", "left").select("sid", "set", of_part), least), "keys")
+        else:
+            before = members.drop("part").join(parts.hint("merge"), "sid", "left").select("key", "sid", "pos", "n", of_part)
+        members, used = stored(still_open(before), "members"), [before if members is None else members]
+        rest = stored(candidates(members, least, star), "candidates")
+        first, used = stored(first.unionByName(_verified(rest, sets, least)), "found"), [*used, rest, first]
+        for done in used:
+            forget(spark, done)
     stars = components(first)
     placed = points.join(stars.select(F.col("u").alias("sid"), "v"), "sid", "left").select("sid", "least", F.coalesce("v", "sid").alias("centre"))
     names = placed.groupBy("centre").agg(F.min("least").alias("component"))
     classes = stored(placed.join(names, "centre").select("sid", "component"), "classes")
+    for done in (sets, members, first, firsts, points):
+        forget(spark, done)
     return marks.join(classes, "sid").select("id", "fp", "component")

@@ -15,7 +15,7 @@ from chronopanel.llm.common import stored, table
 
 #: Near copies: shingles of five words, Jaccard similarity of 0.8 or more. Fingerprints that differ in at most 7 of 64 bits
 #: are the first pass; an exact join finds what lies beyond them.
-NEAR = {"words": 5, "distance": 7, "segments": 16, "reach": 6, "equal": 4, "jaccard": 0.8}
+NEAR = {"words": 5, "distance": 7, "segments": 16, "jaccard": 0.8}
 
 #: The mixture: half of what is left, no document twice.
 MIX_FRACTION, MIX_EPOCHS = 0.5, 1

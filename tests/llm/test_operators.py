@@ -104,7 +104,8 @@ def brute_fingerprint(text, words):
 
 @pytest.mark.parametrize(("words", "distance", "segments", "reach", "equal"), [(4, 4, 10, 4, 3), (5, 7, 16, 6, 4)])
 def test_simhash(odd, odd_rows, empty, monkeypatch, words, distance, segments, reach, equal):
-    monkeypatch.setattr(simhash, "CELL", 3)  # so that keys are cut into cells
+    if distance == 4:
+        monkeypatch.setattr(simhash, "CELL", 3)  # so that keys are crowded
     got = rows(simhash.near_duplicates(odd, words, distance, segments, reach, equal))
     marks = [(i, brute_fingerprint(t, words)) for i, t, *_ in odd_rows]
     root = list(range(len(marks)))
@@ -140,6 +141,31 @@ def test_links_find_every_pair(spark):
         assert len({(label[m], find(m)) for m in marks}) == len(set(label.values())) == len({find(m) for m in marks})
 
 
+@pytest.mark.parametrize("distance", [2, 3])
+def test_crowded_fingerprints(spark, distance):
+    rng = np.random.default_rng(distance)
+    seeds = rng.integers(0, 2**62, 12).tolist()
+    marks = sorted({s ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)) for s in seeds for _ in range(12)})
+    root = {m: m for m in marks}
+    find = lambda i: i if root[i] == i else find(root[i])
+    edges = simhash.crowd_links(spark.createDataFrame([(m,) for m in marks], "fp long"), distance).collect()
+    for u, v in edges:
+        assert u > v
+        root[find(u)] = find(v)
+    label = {m: find(m) for m in marks}
+    root = {m: m for m in marks}
+    for i, a in enumerate(marks):
+        for b in marks[:i]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(a)] = find(b)
+    assert len({(label[m], find(m)) for m in marks}) == len(set(label.values())) == len({find(m) for m in marks}) < len(marks)
+
+
+def test_keys_take_more_segments_with_more_points():
+    sizes = [len(simhash.choose_keys(4, 10, n)[0]) for n in (100, 10**7, 10**9, 10**10)]
+    assert sizes == [3, 3, 4, 5]
+
+
 @pytest.mark.parametrize("heavy", [0, 50])
 def test_near_duplicates_by_jaccard(spark, odd, odd_rows, empty, monkeypatch, heavy):
     monkeypatch.setattr(simhash, "CELL", 5)  # so that keys are cut into cells

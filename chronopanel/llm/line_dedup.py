@@ -1,9 +1,14 @@
 """Line dedup by a log-template tree of fixed depth.
 
-Each line is parsed once: level one of the tree is its number of tokens, the next levels are its leading tokens, and the
-leaf holds its template, the whole token sequence. Tokens that hold a digit are variable fields and become <*> on every
-level. Equal paths through the tree are one template. A template that occurs in two or more documents recurs; of its
-lines only those of one document stay, that with the smallest (id, text digest), and the others are dropped.
+A line's tokens that hold a digit are variable fields, <*>, as long as no more of the tokens are such fields than not.
+Level one of the tree is the number of tokens, level two which of SEGMENTS equal stretches of the line may vary, level
+three the leading tokens up to that stretch, and the leaf the tokens after it. So each line is parsed along SEGMENTS
+paths, and lines that differ in one stretch only, say in a name, meet in a leaf: its template has <*> for the stretch.
+Lines too short for that, or with so many fields that fewer than three in five tokens would be literal, have one path
+with no varying stretch. A template that occurs in two or more documents recurs; of its lines only those of one
+document stay, that with the smallest id, and the others are dropped.
+
+Nothing depends on the order of lines: templates come from counts over all documents, combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -11,53 +16,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Leading tokens that are levels of the tree.
-DEPTH = 2
+from .common import stored
+
+#: Stretches of a line of which one may vary, and the least tokens of a line for that.
+SEGMENTS, LEAST = 4, 5
 
 _GAP = r"[\x20\x09-\x0D]+"
 #: A token with a digit, matched from its start only and without backtracking, so that very long tokens cost linear time.
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def template(line: Column, literal: bool = False) -> Column:
-    """The line's tokens with single spaces between, variable fields as <*>; lines that need no change cost two scans.
-    With literal, lines with fewer literal tokens than variable fields keep their fields."""
-    masked = F.regexp_replace(line, _VARIABLE, "<*>")
-    if literal:
-        # A one-element array binds the masked line, so that it is worked out once.
-        masked = F.get(F.transform(F.array(masked), lambda m: F.when(2 * (F.length(m) - F.length(F.replace(m, F.lit("<*>"), F.lit("")))) / 3 > F.regexp_count(m, F.lit(r"[^\x20\x09-\x0D]+")), line).otherwise(m)), F.lit(0))
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), worked out once however often use has its argument: a one-element array binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fields(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit("<*>"), F.lit("")))) / 3
+
+
+def template(line: Column) -> Column:
+    """The line's tokens with single spaces between, variable fields as <*>; lines that need no change cost two scans."""
+    masked = _bound(F.regexp_replace(line, _VARIABLE, "<*>"), lambda m: F.when(2 * _fields(m) > F.regexp_count(m, F.lit(r"[^\x20\x09-\x0D]+")), line).otherwise(m))
     fields = F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(line)
     return F.when(F.regexp_like(line, F.lit(r"[\x09-\x0D]|  |^ | $")), F.regexp_replace(F.regexp_replace(fields, _GAP, " "), "^ | $", "")).otherwise(fields)
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_words: int = 1, literal: bool = False) -> DataFrame:
+def paths(line: Column, segments: int = SEGMENTS, least: int = LEAST) -> Column:
+    """Digests of the line's paths through the tree, an array; line is a template(). None for a line without tokens."""
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        cut = lambda s: F.floor(n * s / segments).cast("int")
+        path = lambda s: F.xxhash64(n, F.lit(s), F.slice(t, F.lit(1), cut(s)), F.slice(t, cut(s + 1) + 1, n))
+        varying = (n >= least) & (5 * (n - _fields(line) - F.ceil(n / segments)) >= 3 * n)
+        return F.when(varying, F.array(*[path(s) for s in range(segments)])).otherwise(F.array(F.xxhash64(n, F.lit(-1), t)))
+
+    return F.when(line == "", F.array().cast("array<long>")).otherwise(_bound(F.split(line, " "), of))
+
+
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, least: int = LEAST) -> DataFrame:
     """docs, all columns, with recurring lines cut from the text; what stays keeps its order and its line ends.
 
-    A document is a row's (id, text), so repeated rows are one document and get the same result. Lines without a token
-    or with fewer than min_words tokens stay, unless the whole text goes: a document that keeps no line with a token
-    gets the text "". With literal, lines with fewer literal tokens than variable fields, as rows of numbers, recur only
-    if their fields are equal too; without it, different numbers on lines of their own are one template. Null texts stay
-    null, null ids take part like any id and count as the smallest. Extra columns are passed through.
+    Rows of one id are one document; repeated rows get the same result. Lines without a token stay, unless the whole
+    text goes: a document that keeps no line with a token gets the text "". Rows of numbers recur only if their numbers
+    are equal. Null texts stay null, empty ones empty, texts of any length are read whole. Null ids take part like any
+    id and count as the smallest. An empty table gives an empty result. Extra columns are passed through, whatever their
+    names.
     """
     me = [F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__mark")]
-    # Generated rows hold their template as a value, so that nothing after this works it out again.
-    leaves = F.transform(F.split(text_col, "\n", -1), lambda x: template(x, literal))
-    lines = docs.where(F.col(text_col).isNotNull()).select(*me, F.posexplode(leaves).alias("__no", "__plain")).where("__plain <> ''")
-    count = F.length("__plain") - F.length(F.replace("__plain", F.lit(" "), F.lit(""))) + 1
-    if min_words > 1:
-        lines = lines.where(count >= min_words)
-    # The leaf is a digest of the whole template; the levels above only say where in the tree it is.
-    branch = F.xxhash64(count, F.substring_index("__plain", " ", depth))
-    lines = lines.select(F.struct("__id", "__mark").alias("__doc"), "__no", branch.alias("__branch"), F.unhex(F.md5(F.col("__plain").cast("binary"))).alias("__leaf"))
-    # Repeats within a document don't count: least and greatest document differ if there are two or more.
-    templates = lines.groupBy("__branch", "__leaf").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last")).where("__first <> __last")
-    gone = (
-        lines.join(templates.drop("__last"), ["__branch", "__leaf"]).where(~F.col("__doc").eqNullSafe(F.col("__first")))
-        .groupBy("__doc.__id", "__doc.__mark").agg(F.collect_set("__no").alias("__gone"))
-    )
-    joined = docs.select("*", *me).alias("d").join(gone.alias("g"), F.expr("d.__id <=> g.__id and d.__mark = g.__mark"), "left")
-    # Arrays of one element bind a value that a lambda needs more than once, so that it is worked out once a row.
-    stay = F.transform(F.array(F.split(F.col(f"d.`{text_col}`"), "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("g.__gone")), lambda i: F.get(ls, i)), "\n"))
-    left = F.get(F.transform(stay, lambda t: F.when(F.regexp_like(t, F.lit(r"[^\x20\x09-\x0D]")), t).otherwise("")), F.lit(0))
-    text = F.when(F.col("g.__gone").isNull(), F.col(f"d.`{text_col}`")).otherwise(left)
-    return joined.select(*[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    leaves = F.transform(F.split(text_col, "\n", -1), template)
+    lines = stored(docs.where(F.col(text_col).isNotNull()).select(*me, F.transform(leaves, lambda x: paths(x, segments, least)).alias("__paths")), "lines")
+    each = lines.select("__id", "__mark", F.posexplode("__paths").alias("__no", "__path")).select("__id", "__mark", "__no", F.explode("__path").alias("__path"))
+    # Repeats within a document don't count.
+    found = each.groupBy("__path").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"), F.count("__id").alias("__named"), F.count(F.lit(1)).alias("__all"))
+    recurs = (F.col("__first") != F.col("__last")) | ((F.col("__named") > 0) & (F.col("__named") < F.col("__all")))
+    templates = stored(found.where(recurs).select("__path", F.when(F.col("__named") == F.col("__all"), F.col("__first")).alias("__first")), "templates")
+    gone = each.join(templates, "__path").where(~F.col("__id").eqNullSafe(F.col("__first"))).groupBy("__id", "__mark").agg(F.collect_set("__no").alias("__gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *me)
+    joined = rows.alias("d").join(gone.alias("g"), F.expr("d.__id <=> g.__id and d.__mark = g.__mark"), "left")
+    text = F.col("__row").getField(text_col)
+    stay = _bound(F.split(text, "\n", -1), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n"))
+    left = _bound(stay, lambda t: F.when(F.regexp_like(t, F.lit(r"[^\x20\x09-\x0D]")), t).otherwise(""))
+    text = F.when(F.col("__gone").isNull(), text).otherwise(left)
+    return joined.select(*[(text if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns])

@@ -343,28 +343,48 @@ def test_katz(spark, odd, odd_rows, empty):
     assert rows(katz.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).select("n_tokens", "n_known", "score")) == [(3, 0, 0.0)]
 
 
-def test_line_dedup(odd, odd_rows, empty):
-    got = rows(line_dedup.drop_recurring_lines(odd).select("doc_id", "text", "lang", "source"))
-    path = lambda x: " ".join("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x))
-    order = lambda i, t: (i is not None, i or 0)
+def brute_lines(docs):
+    """docs: (id, text); their texts without recurring lines."""
+
+    def paths(line):
+        w = WORD.findall(line)
+        masked = ["<*>" if re.search("[0-9]", x) else x for x in w]
+        if 2 * masked.count("<*>") <= len(w):
+            w = masked
+        n, m = len(w), " ".join(w).count("<*>")
+        if n >= 5 and 5 * (n - m - -(-n // 4)) >= 3 * n:
+            return [(s, *w[: n * s // 4], None, *w[n * (s + 1) // 4 :]) for s in range(4)]
+        return [(-1, *w)] if w else []
+
+    order = lambda i: (i is not None, i)
     where = defaultdict(set)
-    for i, t, *_ in odd_rows:
+    for i, t in docs:
         for x in (t or "").split("\n"):
-            if path(x):
-                where[path(x)].add((order(i, t), t))
-    want = []
-    for i, t, lang, source in odd_rows:
-        if t is None:
-            want.append((i, None, lang, source))
-            continue
-        lines = t.split("\n")
-        stay = [x for x in lines if not path(x) or len(where[path(x)]) == 1 or min(where[path(x)])[0] == order(i, t)]
-        new = "\n".join(stay) if len(stay) == len(lines) or any(map(path, stay)) else ""
-        want.append((i, new, lang, source))
+            for p in paths(x):
+                where[p].add(order(i))
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if all(min(where[p]) == order(i) for p in paths(x))]
+        out.append(t if t is None or len(stay) == len(lines) else "\n".join(stay) if any(WORD.search(x) for x in stay) else "")
+    return out
+
+
+def test_line_dedup(spark, odd, odd_rows, empty):
+    got = rows(line_dedup.drop_recurring_lines(odd.withColumns({"__id": F.lit(1), "__row": F.lit("x"), "__path": F.lit(2)})).select("doc_id", "text", "lang", "source"))
+    want = [(i, new, lang, source) for (i, _, lang, source), new in zip(odd_rows, brute_lines([r[:2] for r in odd_rows]), strict=True)]
     assert sorted(got, key=key) == sorted(want, key=key)
     assert line_dedup.drop_recurring_lines(empty).count() == 0
 
 
+def test_line_dedup_generalises_fields(spark):
+    texts = ["user alice logged in ok\nown words of the first", "user bob logged in ok\nall else than in others 7", "user carol logged in ok", "user guide of the system", "Posted by Anna Berg at 10:30 in News and more\n12 34 56", "Posted by Boris Holm at 9:15 in News and more\n12 34 57", "one two\nthree four five", "one six\nthree four ten"]
+    docs = list(enumerate(texts))
+    got = {r[0]: r[1] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_lines(docs)))
+    assert (got[0], got[1], got[2], got[5], got[7]) == (texts[0], "all else than in others 7", "", "12 34 57", texts[7])
+
+
 def brute_budgets(children, total):
     """children: name -> (weight, supply). Shares by repeated redistribution."""
     out, open_ = dict.fromkeys(children, 0.0), dict(children)

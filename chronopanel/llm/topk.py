@@ -1,13 +1,18 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-Vectors become integers (floor of scale times each component) and stand in a grid of blocks: each cell has one block of
-queries and one of candidates. 1: each cell gathers, for each of its queries, a short list of its best scores. The k-th
-best of a query's lists is a safe cutoff, since k candidates reach it. 2: the cutoffs are sent to the cells, and each
-sends the entries that reach them: enough, since none below can be among the k best; of ties, at most k from one cell
-with the smallest ids. 3: what was sent is ranked by exact scores.
-
-Scores are sums of products in doubles while all of them stay below 2**53, and in 64-bit integers otherwise, so every
-phase is exact.
+Vectors become integers (floor of scale times each component). Their dimensions are cut into SLICES stretches, and for a
+query each stretch has a list of partial scores of all candidates; a score is the sum of its partial ones. Vectors stand
+in a grid of blocks, each cell with one block of queries and one of candidates.
+
+1: cells of every STRIDE-th block of candidates gather short lists of their best whole scores. The k-th best of a query's
+lists is a safe cutoff c, since k candidates reach it. 2: a candidate whose score reaches c has a partial score of c/m or
+more in one of the m lists, so each list is told the uniform share and sends the entries that reach it. Candidates that
+all lists sent have whole scores by that, whose k-th best is a better cutoff. 3: of the others, those whose sent partial
+scores and the most that the other lists can have left unsent reach the better cutoff are looked up and scored exactly.
+So each pair of rows is scored once, but for the share of phase 1, and no phase misses a candidate.
+
+Partial scores are sums of products in doubles while all of them stay below 2**53, and in 64-bit integers otherwise, so
+every phase is exact.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
-#: Rows in one side of a cell.
-BLOCK = 1024
+#: Rows in one side of a cell; lists, as stretches of the dimensions; blocks of which one makes the first cutoff.
+BLOCK, SLICES, STRIDE = 1024, 2, 8
+
+_LEAST = np.iinfo(np.int64).min
 
 
 def _matrix(t: pa.Table, column: str) -> np.ndarray:
@@ -36,64 +43,127 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def _cells(vectors: DataFrame, queries: Column, block: int) -> tuple[DataFrame, DataFrame]:
-    n_q, n_x = vectors.agg(F.count_if(queries), F.count(F.lit(1))).first()
-    qs, xs = max(1, -(-n_q // block)), max(1, -(-n_x // block))
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = vectors.where(queries).select(spread(qs).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(xs - 1))).alias("xb"), "id", "v")
-    x = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), spread(xs).alias("xb"), F.col("id").alias("cand"), F.col("v").alias("w"))  # names of its own, or cogroup takes both sides' columns for the same
-    return q, x
+_SENT = "qb int, xb int, query long, cand array<long>, id array<long>, part array<long>"
+_TOPS = "xb int, query long, id array<long>, score array<long>"
+_OPEN = "query long, cand long"
+
+
+def _table(of: str, columns: list | None = None) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in of.split(", "))])
+    return schema.empty_table() if columns is None else pa.Table.from_arrays([pa.array(c, kind) if isinstance(c, np.ndarray) else c for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
+
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values, pa.int64()))
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+
+def _merged(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """(row of t, candidate, id, sum, how many lists sent it) of each pair that a cell's lists sent, sorted by query."""
+    flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(t)), t["cand"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+    query, cand, ids, part = t["query"].to_numpy()[row], flat("cand"), flat("id"), flat("part")
+    order = np.lexsort((cand, query))
+    query, cand = query[order], cand[order]
+    first = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (cand[1:] != cand[:-1])])[: len(order)])
+    sums = np.add.reduceat(part[order], first) if len(first) else part
+    return row[order][first], cand[first], ids[order][first], sums, np.diff(np.concatenate([first, [len(order)]]))
+
+
+def top_k(
+    vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK,
+    slices: int = SLICES, stride: int = STRIDE,
+) -> DataFrame:
     """(query_id, rank, id, score): for each row that the condition on the column id takes as a query, the k best other
     rows; ties to the smaller id.
 
-    Rows with a null id, a null vector, or null or non-finite components take no part, nor do vectors of another length
-    than the greatest one that occurs (none does in a sound table). Rows that repeat an id are one candidate each, but
-    none is a candidate of a query of the same id; of repeated query ids, each has its own lists, which are equal if
-    the vectors are, and are merged. Fewer than k candidates give fewer ranks.
+    Rows with a null id, a null vector, or null or non-finite components take no part; empty vectors score 0. Vectors
+    that are shorter than the longest have 0 in the components they lack. Repeated rows are candidates each; none is a
+    candidate of a query of the same id. Query rows that are equal are one query; of different vectors with one id the
+    lists are merged. Fewer than k candidates give fewer ranks, an empty table none. Other columns are not read,
+    whatever their names.
     """
+    spark = vectors.sparkSession
     v = F.col(vector_col)
     whole = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(v, lambda c: F.floor(c.cast("double") * scale))
-    vectors = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    vectors = stored(vectors.where(F.size("v") == width).distinct(), "vectors")
-    q, x = _cells(vectors, queries, block)
-    n_x = vectors.count()
-    share = max(2, -(-2 * k // max(1, -(-n_x // block))))
+    sound = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
+    width = max(1, sound.agg(F.max(F.size("v"))).first()[0] or 0)
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
+    rows = stored(sound.select(F.monotonically_increasing_id().alias("row"), "id", padded.alias("v")), "vectors")
+    asking = stored(rows.where(queries).groupBy("id", "v").agg(F.min("row").alias("row")), "queries")
+    n_q, n_x = asking.count(), rows.count()
+    qs, xs = max(1, -(-n_q // block)), max(1, -(-n_x // block))
+    m = min(slices, width)
+    spread = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    all_of = lambda n, step=1: F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step)))
+    # Names of the candidates' own, or cogroup takes both sides' columns for the same.
+    x = rows.select(spread(xs).alias("xb"), F.col("row").alias("cand"), F.col("id").alias("cid"), F.col("v").alias("w"))
+    q = asking.select(spread(qs).alias("qb"), F.col("row").alias("query"), "id", "v")
+    step = max(1, min(stride, xs))
 
     def gather(qt: pa.Table, xt: pa.Table) -> pa.Table:
         if not len(qt) or not len(xt):  # a block of the grid may be empty, and then has no columns
-            return pa.table({"query_id": pa.array([], pa.int64()), "xb": pa.array([], pa.int32()), "best": pa.array([], pa.list_(pa.int64()))})
-        ids, cand = qt["id"].to_numpy(), xt["cand"].to_numpy()
-        out = []
-        for i, row in enumerate(_scores(_matrix(qt, "v"), _matrix(xt, "w"))):
-            best = row[cand != ids[i]]
-            out.append(np.sort(np.partition(best, len(best) - share)[-share:] if len(best) > share else best)[::-1])
-        return pa.table({"query_id": qt["id"], "xb": qt["xb"], "best": pa.array(out, pa.list_(pa.int64()))})
-
-    grid = lambda a, b, f, s: a.groupBy("qb", "xb").cogroup(b.groupBy("qb", "xb")).applyInArrow(f, s)
-    lists = grid(q, x, gather, "query_id long, xb int, best array<long>")
-    # Lists are merged in two steps, so that no group grows with the number of blocks.
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k)
-    lists = lists.groupBy("query_id", F.floor(F.col("xb") / 256)).agg(best.alias("best"))
-    cut = lists.groupBy("query_id").agg(best.alias("b")).select("query_id", F.when(F.size("b") >= k, F.get("b", F.lit(k - 1))).alias("cutoff"))
-    cut = stored(cut, "cutoffs")
+            return _table("query long, xb int, best array<long>")
+        ids, cand = qt["id"].to_numpy(), xt["cid"].to_numpy()
+        best = [row[cand != i] for i, row in zip(ids, _scores(_matrix(qt, "v"), _matrix(xt, "w")), strict=True)]
+        best = [np.partition(b, len(b) - k)[-k:] if len(b) > k else b for b in best]
+        return _table("query long, xb int, best array<long>", [qt["query"].to_numpy(), qt["xb"].to_numpy(), _lists(np.concatenate(best), np.array([len(b) for b in best]))])
+
+    def kth(lists: DataFrame) -> DataFrame:
+        """(query, c): the k-th best of lists (query, xb, best), null if there are fewer. Lists are merged in two steps, so
+        that no group grows with the number of blocks."""
+        best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k)
+        some = lists.groupBy("query", F.floor(F.col("xb") / 256)).agg(best.alias("best")).groupBy("query").agg(best.alias("b"))
+        return some.select("query", F.when(F.size("b") >= k, F.get("b", F.lit(k - 1))).alias("c"))
+
+    grid = lambda a, b, keys, f, s: a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(f, s)
+    share = q.select("*", all_of(xs, step).alias("xb"))
+    lists = grid(share, x.where(F.col("xb") % step == 0).select("*", all_of(qs).alias("qb")), ("qb", "xb"), gather, "query long, xb int, best array<long>")
+    cut = stored(kth(lists).withColumnRenamed("c", "cutoff"), "cutoffs")
 
     def send(qt: pa.Table, xt: pa.Table) -> pa.Table:
         if not len(qt) or not len(xt):
-            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "id", "score")})
-        ids, cand, cutoffs = qt["id"].to_numpy(), xt["cand"].to_numpy(), qt["cutoff"].to_pylist()
-        cols: list[list[np.ndarray]] = [[], [], []]
-        for i, row in enumerate(_scores(_matrix(qt, "v"), _matrix(xt, "w"))):
-            take = np.flatnonzero((cand != ids[i]) & (row >= (cutoffs[i] if cutoffs[i] is not None else np.iinfo(np.int64).min)))
-            take = take[np.lexsort((cand[take], -row[take]))[:k]]
-            for c, a in zip(cols, (np.full(len(take), ids[i]), cand[take], row[take]), strict=True):
-                c.append(a)
-        return pa.table({n: np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for n, c in zip(("query_id", "id", "score"), cols, strict=True)})
-
-    sent = grid(q.join(cut.withColumnRenamed("query_id", "id"), "id").select("qb", "xb", "id", "v", "cutoff"), x, send, "query_id long, id long, score long")
+            return _table(_SENT)
+        least = qt["least"].fill_null(_LEAST).to_numpy()
+        score = _scores(_matrix(qt, "v"), _matrix(xt, "w"))
+        cand, cid = xt["cand"].to_numpy(), xt["cid"].to_numpy()
+        i, j = np.nonzero((score >= least[:, None]) & (cid != qt["id"].to_numpy()[:, None]))
+        sizes = np.bincount(i, minlength=len(qt))
+        return _table(_SENT, [qt["qb"].to_numpy(), qt["xb"].to_numpy(), qt["query"].to_numpy(), _lists(cand[j], sizes), _lists(cid[j], sizes), _lists(score[i, j], sizes)])
+
+    at = lambda c, s: F.slice(c, F.floor(s * width / m).cast("int") + 1, F.floor((s + 1) * width / m).cast("int") - F.floor(s * width / m).cast("int"))
+    told = q.join(cut, "query", "left").withColumn("least", F.ceil(F.col("cutoff") / m))
+    a = told.select("qb", "query", "id", "least", "v", all_of(xs).alias("xb")).select("qb", "xb", "query", "id", "least", "v", all_of(m).alias("s")).withColumn("v", at("v", F.col("s")))
+    b = x.select("*", all_of(qs).alias("qb")).select("*", all_of(m).alias("s")).withColumn("w", at("w", F.col("s")))
+    sent = stored(grid(a, b, ("qb", "xb", "s"), send, _SENT), "sent")
+
+    def complete(t: pa.Table) -> pa.Table:
+        row, _, ids, sums, seen = _merged(t)
+        full = seen == m
+        query, ids, sums = t["query"].to_numpy()[row][full], ids[full], sums[full]
+        order = np.lexsort((ids, -sums, query))
+        query, ids, sums = query[order], ids[order], sums[order]
+        take = np.arange(len(query)) - np.searchsorted(query, query) < k
+        some, sizes = np.unique(query[take], return_counts=True)
+        return _table(_TOPS, [np.full(len(some), t["xb"][0].as_py()), some, _lists(ids[take], sizes), _lists(sums[take], sizes)])
+
+    tops = stored(sent.groupBy("qb", "xb").applyInArrow(complete, _TOPS), "tops")
+    better = kth(tops.select("query", "xb", F.col("score").alias("best"))).join(cut, "query", "left").select("query", F.greatest("c", "cutoff").alias("better"), F.ceil(F.col("cutoff") / m).alias("least"))
+
+    def open_(t: pa.Table) -> pa.Table:
+        row, cand, _, sums, seen = _merged(t)
+        better, least = (t[c].fill_null(_LEAST).to_numpy()[row] for c in ("better", "least"))
+        # Without a cutoff everything was sent, and no pair lacks a list.
+        take = (seen < m) & (sums + (m - seen) * (least - 1) >= better)
+        return _table(_OPEN, [t["query"].to_numpy()[row][take], cand[take]])
+
+    rest = sent.join(better, "query").groupBy("qb", "xb").applyInArrow(open_, _OPEN)
+    product = F.aggregate(F.zip_with("v", "w", lambda s, t: s * t), F.lit(0).cast("long"), lambda s, t: s + t)
+    looked_up = rest.join(asking.select(F.col("row").alias("query"), "v"), "query").join(rows.select(F.col("row").alias("cand"), "id", F.col("v").alias("w")), "cand").select("query", "id", product.alias("score"))
+    every = tops.select("query", F.inline(F.arrays_zip("id", "score"))).unionByName(looked_up).join(asking.select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return sent.distinct().withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    out = stored(every.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score"), "topk")
+    for done in (sent, tops, cut):
+        forget(spark, done)
+    return out

@@ -237,18 +237,26 @@ def test_votes_recover_accuracies():
     assert ((quality.posterior(votes, good, found) > 0.5) == truth).mean() > 0.85
 
 
-def test_topk(spark, monkeypatch):
+def brute_topk(vectors, k=20):
+    sound = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    width = max((len(v) for _, v in sound), default=0)
+    sound = [(i, tuple(np.pad(v, (0, width - len(v))).tolist())) for i, v in sound]
+    want = defaultdict(list)
+    for i, v in {x for x in sound if x[0] % 20 == 0}:
+        want[i] += [(-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in sound if j != i]
+    return sorted((q, r + 1, i, -s) for q, found in want.items() for r, (s, i) in enumerate(sorted(found)[:k]))
+
+
+def test_topk(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(150)]
     vectors += [(200 + i, vectors[7][1]) for i in range(40)] + [(500, None), (501, [1.0, None, 2.0, 3.0]), (502, [float("nan"), 1.0, 1.0, 1.0]), (503, [float("inf"), 1.0, 1.0, 1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (7, vectors[7][1])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    sound = {i: np.floor(64 * np.array(v)).astype(int) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    want = []
-    for q in (i for i in sound if i % 20 == 0):
-        best = sorted((-int(sound[q] @ v), i) for i, v in sound.items() if i != q)[:20]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    for block in (16, 1024):
-        assert sorted(rows(topk.top_k(df, F.col("id") % 20 == 0, block=block))) == sorted(want)
+    vectors += [vectors[3], vectors[3], vectors[20], vectors[20], (40, [9.0, 9.0, -9.0, 1.0]), (511, [3.0, 1.0]), (512, [])]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0) for r in vectors], "vec_id long, embedding array<double>, id int, query string, score double")
+    for block, slices in ((16, 2), (16, 3), (1024, 2)):
+        assert sorted(rows(topk.top_k(df, F.col("id") % 20 == 0, block=block, slices=slices))) == brute_topk(vectors)
+    longer = [(i, [1.0 + i, 2.0]) for i in range(40)] + [(50, [1.0, 1.0, 1.0])]
+    assert sorted(rows(topk.top_k(spark.createDataFrame(longer, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0))) == brute_topk(longer)
     assert topk.top_k(df.where("vec_id < 3"), F.col("id") % 20 == 0).count() == 2
     assert topk.top_k(df.where("false"), F.col("id") % 20 == 0).count() == 0
 

@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEVELS = ("domain", "lang", "source")
 
-#: Buckets of the seeded order within one leaf and epoch: running sums are made over buckets, then inside of one.
-BUCKETS = 4096
+#: Rows of one bucket of the seeded order, about: running sums are made over buckets, then inside of one.
+BUCKET = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -70,17 +72,20 @@ def mix(
     """
     seeded = lambda e: F.md5(F.concat_ws(":", F.lit(str(seed)), e, F.coalesce(F.col("__id").cast("string"), F.lit(""))))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(
-        F.struct(*(keep or docs.columns)).alias("row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__mark"),
+    # Texts are read and counted once; what follows reads the columns it needs of the stored rows.
+    once = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__mark"),
         name(domain if domain is not None else F.lit("all")).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"),
         (tokens if tokens is not None else word_count(F.col(text_col))).cast("long").alias("n_tokens"),
-    ).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("__key", seeded(F.col("epoch").cast("string")))
-    rows = rows.withColumn("__bucket", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))
+    )
+    once = stored(once, "mixing")
+    digits = 3
+    while once.count() > BUCKET * 16**digits:
+        digits += 1
+    rows = once.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("__key", seeded(F.col("epoch").cast("string")))
+    rows = rows.withColumn("__bucket", F.conv(F.substring("__key", 1, digits), 16, 10).cast("int"))
     leaf = list(LEVELS)
-    sums = docs.select(
-        name(domain if domain is not None else F.lit("all")).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"),
-        (tokens if tokens is not None else word_count(F.col(text_col))).cast("long").alias("n_tokens"), F.col(id_col).alias("__id"),
-    ).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("__bucket", F.conv(F.substring(seeded(F.col("epoch").cast("string")), 1, 3), 16, 10).cast("int")).groupBy(*leaf, "epoch", "__bucket").agg(F.sum("n_tokens").alias("__sum"))
+    sums = stored(rows.groupBy(*leaf, "epoch", "__bucket").agg(F.sum("n_tokens").alias("__sum")), "sums")
     total = sums.where("epoch = 1").agg((F.coalesce(F.sum("__sum"), F.lit(0)) * fraction).alias("t")).first()[0]
     leaves = sums.where("epoch = 1").groupBy(*leaf).agg(F.sum("__sum").alias("tokens"))
     ahead = F.sum("__sum").over(Window.partitionBy(*leaf).orderBy("epoch", "__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")

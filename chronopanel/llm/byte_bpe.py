@@ -190,7 +190,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, bytes) of every row: encode, then decode of the same ids, in one pass of one worker."""
+    """(id, ids, bytes) of every row: encode, then decode of the same ids, in one pass of one worker.
+
+    Null texts count as empty, which have no ids and no bytes. Texts of any length are encoded whole. Null ids and
+    repeated rows are kept as they are. An empty table gives an empty result. Other columns are not read, whatever their
+    names.
+    """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored
 
@@ -80,8 +81,8 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = b.slice(at, 128)
                 yield pa.RecordBatch.from_arrays([part["id"], *map(pa.array, _counts(part["text"].to_pylist()))], ["id", *_COUNTS])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS))
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *[StructField(c, LongType()) for c in _COUNTS]])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -95,11 +96,7 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(c("n_words") < 20, c("n_words") >= 50),
         "word_length": _vote(F.try_divide("word_chars", "n_words") > 12, some & F.try_divide("word_chars", "n_words").between(3, 8)),
-        # Three views of one fault: no single rule outweighs all others, so a fault that shows in one count only is
-        # seen from more than one side.
-        "symbols_by_char": _vote(some & (F.try_divide("n_symbols", "word_chars") > 0.02), some & (F.try_divide("n_symbols", "word_chars") < 0.002)),
-        "symbols_by_end": _vote(some & (c("n_symbols") >= 5) & (c("n_symbols") > c("n_ends")), some & (10 * c("n_symbols") < c("n_ends"))),
-        "symbols": _vote(per_word("n_symbols") > 0.1, some & (per_word("n_symbols") < 0.01)),
+        "symbols": _vote(some & (per_word("n_symbols") > 0.1), some & (per_word("n_symbols") < 0.01)),
         "repeats": _vote(per_word("n_repeat_words") > 0.3, some & (per_word("n_repeat_words") < 0.05)),
         "dup_lines": _vote((c("n_lines") >= 4) & (F.try_divide("n_dup_lines", "n_lines") > 0.3), (c("n_lines") >= 3) & (c("n_dup_lines") == 0)),
         "upper": _vote(F.try_divide("n_upper", "word_chars") > 0.4, some & (F.try_divide("n_upper", "word_chars") < 0.15)),
@@ -113,9 +110,11 @@ def fit_votes(votes: np.ndarray, times: np.ndarray, rounds: int = 500, start: fl
     """(share of good documents, accuracies [rule, (on bad, on good)]).
 
     votes: patterns x rules in -1, 0, 1; times: documents of each pattern. Abstaining tells nothing. At the start a
-    document with any bad vote is bad with probability start, any other good. A rule's accuracy never falls under one
-    half, which keeps the classes from changing places; one vote's worth of trust stays in as a prior, so no probability
-    becomes 0 or 1."""
+    document with any bad vote is bad with probability start, any other good. The two accuracies of a rule are its own:
+    most faults show to one rule only, so on bad documents a rule may well be wrong most of the time, and its good votes
+    then say little, while its bad ones say much if they are rare on good documents. A bad vote is never taken as likelier
+    on good documents than on bad ones, which keeps the classes from changing places; one vote's worth of trust stays in
+    as a prior, so no probability becomes 0 or 1."""
     bad = np.where((votes == -1).any(axis=1), start, 1 - start)
     right = np.full((votes.shape[1], 2), trust)
     good = 0.5
@@ -123,7 +122,8 @@ def fit_votes(votes: np.ndarray, times: np.ndarray, rounds: int = 500, start: fl
         weight = np.stack([times * bad, times * (1 - bad)])
         good = (weight[1].sum() + 1) / (times.sum() + 2)
         hits = np.stack([weight[0] @ (votes == -1), weight[1] @ (votes == 1)], axis=1)
-        new = np.clip((hits + trust) / ((weight @ (votes != 0)).T + 1), 0.5, 0.999)
+        new = np.clip((hits + trust) / ((weight @ (votes != 0)).T + 1), 0.001, 0.999)
+        new[:, 0] = np.maximum(new[:, 0], 1 - new[:, 1])
         bad = 1 - posterior(votes, good, new)
         if np.abs(new - right).max() < 1e-9:
             break
@@ -144,16 +144,17 @@ def posterior(votes: np.ndarray, good: float, right: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, counts..., votes, posterior, base_failed, kept) of every row.
 
-    base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows; such rows are never kept. Null
+    base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows; such rows are never kept, and
+    accuracies are estimated from all the others, so that the bad class is not just what the base check finds anyway. Null
     and empty texts have counts 0 and fail so. Null ids and repeated rows are kept as they are; equal texts get equal
     results. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cast = rules()
     counts = stored(document_counts(docs, id_col, text_col).withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in cast.values()])), "quality")
-    patterns = counts.groupBy("votes").count().collect()  # at most 3 ** len(cast) rows
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    patterns = counts.groupBy("votes").agg(F.count_if(~failed)).collect()  # at most 3 ** len(cast) rows
     votes = np.array([[int(v) for v in p[0].split(",")] for p in patterns], np.int64).reshape(-1, len(cast))
     good, right = fit_votes(votes, np.array([p[1] for p in patterns], np.float64)) if patterns else (0.5, None)
     known = spark.createDataFrame([(p[0], float(x)) for p, x in zip(patterns, posterior(votes, good, right) if patterns else [], strict=True)], "votes string, posterior double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counts.join(F.broadcast(known), "votes").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= threshold))

@@ -210,11 +210,47 @@ def brute_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeat)
 
 
+def brute_posterior(every, failed, rounds=500):
+    """Posterior probabilities of good, a vote pattern a document, by EM over the documents one by one."""
+    votes = [v for v, f in zip(every, failed, strict=True) if not f]
+    of = lambda v, good, acc: (good * prod(v, acc, 1)) / (good * prod(v, acc, 1) + (1 - good) * prod(v, acc, 0))
+
+    def prod(v, acc, side):
+        out = 1.0
+        for x, (on_bad, on_good) in zip(v, acc, strict=True):
+            out *= ({1: on_good, -1: 1 - on_good} if side else {-1: on_bad, 1: 1 - on_bad}).get(x, 1.0)
+        return out
+
+    bad = [0.9 if -1 in v else 0.1 for v in votes]
+    acc = [[0.8, 0.8] for _ in votes[0]]
+    for _ in range(rounds):
+        good = (sum(1 - b for b in bad) + 1) / (len(votes) + 2)
+        new = []
+        for r in range(len(votes[0])):
+            on_bad = (sum(b for b, v in zip(bad, votes, strict=True) if v[r] == -1) + 0.8) / (sum(b for b, v in zip(bad, votes, strict=True) if v[r]) + 1)
+            on_good = (sum(1 - b for b, v in zip(bad, votes, strict=True) if v[r] == 1) + 0.8) / (sum(1 - b for b, v in zip(bad, votes, strict=True) if v[r]) + 1)
+            on_bad, on_good = min(max(on_bad, 0.001), 0.999), min(max(on_good, 0.001), 0.999)
+            new.append([max(on_bad, 1 - on_good), on_good])
+        bad = [1 - of(v, good, new) for v in votes]
+        if max(abs(x - y) for m, n in zip(new, acc, strict=True) for x, y in zip(m, n, strict=True)) < 1e-9:
+            break
+        acc = new
+    return [of(v, good, new) for v in every]
+
+
 def test_quality(odd, odd_rows, empty):
-    got = rows(quality.judge(odd).select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"))
+    got = rows(quality.judge(odd).select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes"))
     want = [(i, *(c := brute_counts(t)), c[0] < 20 or 100 * c[4] > 30 * c[0]) for i, t, *_ in odd_rows]
     assert sorted((r[:7] for r in got), key=key) == sorted(want, key=key)
-    assert all(not (r[6] and r[7]) and 0 <= r[8] <= 1 for r in got)
+    votes = [tuple(map(int, r[9].split(","))) for r in got]
+    for r, p in zip(got, brute_posterior(votes, [r[6] for r in got]), strict=True):
+        assert abs(r[8] - p) < 1e-6 and r[7] == (not r[6] and p >= 0.5)
+    for r, v in zip(got, votes, strict=True):  # the rules, from the counts above
+        n, symbols, repeats = r[1], r[3], r[5]
+        named = dict(zip(quality.rules(), v, strict=True))
+        assert named["length"] == (-1 if n < 20 else 1 if n >= 50 else 0)
+        assert named["symbols"] == (0 if n < 20 else -1 if symbols > 0.1 * n else 1 if symbols < 0.01 * n else 0)
+        assert named["repeats"] == (-1 if n and repeats > 0.3 * n else 1 if n >= 20 and repeats < 0.05 * n else 0)
     assert quality.judge(empty).count() == 0
 
 
@@ -261,26 +297,43 @@ def test_topk(spark):
     assert topk.top_k(df.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
-def test_license_scan(odd, odd_rows, empty):
-    got = rows(license_scan.scan(odd))
-    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    want = []
-    for i, t, *_ in odd_rows:
-        w = split.findall(lower(t))
+SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_licenses(text):
+    """(labels, score) by comparing every block with every template of its width."""
+    w, labels, score = SPLIT.findall(lower(text)), set(), 0.0
+    for (label, template), width in zip(license_scan.TEMPLATES, license_scan.widths(license_scan.TEMPLATES), strict=True):
+        s = set(SPLIT.findall(lower(template)))
+        blocks = [w[at : at + width] for at in range(0, max(1, len(w) - width // 2), width // 2)]
+        if width == license_scan.LEAST:
+            blocks += [x for line in (text or "").split("\n") if len(x := SPLIT.findall(lower(line))) <= width]
+        best = max((len(s & set(x)) / len(s) for x in blocks), default=0)
+        if best >= 0.8:
+            labels.add(label)
+            score = max(score, best)
+    return labels, score
+
+
+def test_license_scan(spark, odd, odd_rows, empty):
+    def want_of(i, t):
+        w = SPLIT.findall(lower(t))
         found = [(k, label) for p, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        labels, score = {x for _, x in found}, 0.0
-        for label, text in license_scan.TEMPLATES:
-            s = set(split.findall(lower(text)))
-            for line in (t or "").split("\n"):
-                lw = split.findall(lower(line))
-                for at in range(0, max(1, len(lw) - 32), 32) if len(lw) > 64 else (0,):
-                    share = len(s & set(lw[at : at + 64])) / len(s)
-                    if share >= 0.8:
-                        labels.add(label)
-                        score = max(score, share)
-        want.append((i, len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), sorted({x for _, x in found}), sorted(labels), 1.0 if found else score))
-    assert sorted(got, key=key) == sorted(want, key=key)
+        labels, score = brute_licenses(t)
+        base = {x for _, x in found}
+        return (i, len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), sorted(base), sorted(base | labels), 1.0 if found else score)
+
+    assert sorted(rows(license_scan.scan(odd)), key=key) == sorted((want_of(i, t) for i, t, *_ in odd_rows), key=key)
     assert license_scan.scan(empty).count() == 0
+    rng, texts = np.random.default_rng(6), []
+    for _, template in license_scan.TEMPLATES:  # whole and cut down, inside of other words and of parts of other templates
+        for part in (1.0, 0.85, 0.7):
+            w = template.split()
+            w = [x for x in w if rng.random() < part] if part < 1 else w
+            others = " ".join(t for _, t in license_scan.TEMPLATES).split()
+            texts.append(" ".join([*(others[int(x)] for x in rng.integers(0, len(others), int(rng.integers(0, 90)))), *w, *(f"x{x}" for x in rng.integers(0, 1000, int(rng.integers(0, 300))))]).replace(". ", ".\n"))
+    got = rows(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert sorted(got, key=key) == sorted((want_of(i, t) for i, t in enumerate(texts)), key=key)
 
 
 def test_license_scan_of_wrapped_notices(spark):
@@ -293,8 +346,6 @@ def test_license_scan_of_wrapped_notices(spark):
             docs.append((label, "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))))
     got = rows(license_scan.scan(spark.createDataFrame(docs, "doc_id string, text string")).select("id", "labels", "score"))
     assert len(got) == len(docs) and all(i in labels and score == 1 for i, labels, score in got)
-    again = rows(license_scan.scan(spark.createDataFrame([(1, docs[4][1])], "doc_id long, text string"), block=8).select("labels"))
-    assert "mit" in again[0][0]  # a block is never shorter than twice a template
 
 
 def test_byte_bpe(odd, odd_rows, empty):

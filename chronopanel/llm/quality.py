@@ -141,17 +141,19 @@ def posterior(votes: np.ndarray, good: float, right: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(like[0] - like[1], -700, 700)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, store: bool = True) -> DataFrame:
     """(id, counts..., votes, posterior, base_failed, kept) of every row.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows; such rows are never kept, and
     accuracies are estimated from all the others, so that the bad class is not just what the base check finds anyway. Null
     and empty texts have counts 0 and fail so. Null ids and repeated rows are kept as they are; equal texts get equal
-    results. An empty table gives an empty result.
+    results. An empty table gives an empty result. Without store the counts are worked out once for the estimates and
+    again for the result, and nothing is written: for ids that are whole rows.
     """
     spark = docs.sparkSession
     cast = rules()
-    counts = stored(document_counts(docs, id_col, text_col).withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in cast.values()])), "quality")
+    counts = document_counts(docs, id_col, text_col).withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in cast.values()]))
+    counts = stored(counts, "quality") if store else counts
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     patterns = counts.groupBy("votes").agg(F.count_if(~failed)).collect()  # at most 3 ** len(cast) rows
     votes = np.array([[int(v) for v in p[0].split(",")] for p in patterns], np.int64).reshape(-1, len(cast))

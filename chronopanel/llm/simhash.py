@@ -17,7 +17,8 @@ Fingerprints near each other tell little about Jaccard similarities near 0.8. Wh
 are a first pass only: their links are verified on the sets of shingles, and an exact set join finds all pairs that the
 verified links leave apart. A set's shingles are ordered by (weight, hash), the weights being counts of frequent ones, and
 two sets of the similarity share one of their first n - ceil(t * n) + 1 (prefix filter). Sizes and places in the order
-prune (length and positional filter), the whole sets verify. Sets are of 64-bit hashes of shingles and stand for them.
+prune (length and positional filter), the whole sets verify. Sets are of 40-bit hashes of shingles and stand for them:
+two documents of n shingles share a hash by chance once in 2**40 / n**2 pairs.
 """
 
 from __future__ import annotations
@@ -254,21 +255,30 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The set of the upper 40 bits of hashes, sorted, 5 bytes each."""
+    return np.ascontiguousarray(np.unique(h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view(np.int64).ravel()
+
+
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, sid, set) of every row: its distinct shingles, sorted, and their digest."""
+    """(id, fp, sid, set) of every row: its distinct shingles, packed, and their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 runs = [shingles(t.as_py(), words) for t in part["text"]]
-                sets = [np.unique(h).view(np.int64) for h in runs]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                sid = np.array([xxhash.xxh64_intdigest(x.tobytes(), _SEED) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([_mark(h) for h in runs], pa.int64()), pa.array(sid), pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["id", "fp", "sid", "set"])
+                sid = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), _SEED) for h in runs], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([_mark(h) for h in runs], pa.int64()), pa.array(sid), pa.array(map(packed, runs), pa.binary())], ["id", "fp", "sid", "set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sid long, set array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sid long, set binary")
 
 
 def _weights(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -276,16 +286,19 @@ def _weights(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def done() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h[n >= OFTEN]), pa.array(n[n >= OFTEN])], ["h", "n"])
 
         for b in batches:
-            held.append(b["set"].flatten().to_numpy(zero_copy_only=False))
-            if sum(map(len, held)) >= CHUNK:
-                yield done()
-                held = []
+            for raw in b["set"]:
+                held.append(unpacked(raw.as_py()))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield done()
+                    held, size = [], 0
         if held:
             yield done()
 
@@ -303,11 +316,21 @@ def prefix(h: np.ndarray, heavy: np.ndarray, weight: np.ndarray, least: float) -
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) of sids whose sets have the similarity."""
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("set").alias(f"s{c}"))
-    both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(common + 1e-9 >= least * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    """The pairs (u, v) of different sids whose sets have the similarity. Sets are shuffled once, and then only those of
+    pairs."""
+    sides = pairs.select(F.explode(F.array("u", "v")).alias("sid"), "u", "v")
+    both = sides.join(sets.select("sid", "set").hint("merge"), "sid").groupBy("u", "v").agg(F.min("set").alias("a"), F.max("set").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = []
+            for a, b in zip(x["a"], x["b"], strict=True):
+                a, b = unpacked(a.as_py()), unpacked(b.as_py())
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(common + 1e-9 >= least * (len(a) + len(b) - common))
+            yield x.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "u long, v long")
 
 
 def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, least: float, star: bool) -> np.ndarray:
@@ -337,7 +360,8 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 cut = b.slice(at, 500)
-                whole = np.array_split(cut["set"].flatten().to_numpy(zero_copy_only=False), np.cumsum(n := cut["set"].value_lengths().to_numpy(zero_copy_only=False))[:-1])
+                whole = [unpacked(raw.as_py()) for raw in cut["set"]]
+                n = np.array([len(h) for h in whole])
                 firsts = [prefix(h, heavy, weight, least) if len(h) else h for h in whole]
                 times = [len(x) for x in firsts]
                 pos = np.concatenate([np.arange(t, dtype=np.int32) for t in times])

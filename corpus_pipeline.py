@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     and go; very long ones are judged whole. Null ids and other nulls, ties and repeated rows change nothing: rows of
     equal texts stay or go together. An empty table gives an empty result. Extra columns stay, whatever their names.
     """
-    return quality.judge(docs.select(_rows(docs).alias("row"), "text"), id_col="row").where("kept").select("id.*")
+    return quality.judge(docs.select(_rows(docs).alias("row"), "text"), id_col="row", store=False).where("kept").select("id.*")
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def realised_vol(panel: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataF
 
 def downside_vol(panel: DataFrame, n: int = 60) -> DataFrame:
     """Adds down_<n>: annualised root mean square of the negative returns, positive ones as zero."""
-    below = F.pow(F.least(F.col("ret"), F.lit(0.0)), 2)
+    below = F.when(F.col("ret").isNotNull(), F.pow(F.least(F.col("ret"), F.lit(0.0)), 2))
     return log_returns(panel).withColumn(f"down_{n}", F.sqrt(full(F.avg, below, trailing(n), n)) * ANNUAL)
 
 

@@ -111,7 +111,7 @@ def detection(episodes: DataFrame, signal: DataFrame, sessions: DataFrame, thres
     o = lambda c: sessions.select(F.col("date").alias(c), F.col("ord").alias(f"{c}_ord"))
     e = episodes.join(o("start"), "start").join(o("end"), "end")
     s = signal.join(sessions, "date").where(F.col("p") > threshold).select("ticker", "ord")
-    hit = e.join(s, "ticker", "left").where("ord is null or true").withColumn("ord", F.when(F.col("ord").between(F.col("start_ord") - before, F.col("end_ord")), F.col("ord")))
+    hit = e.alias("e").join(s.alias("s"), F.expr(f"e.ticker = s.ticker and s.ord between e.start_ord - {before} and e.end_ord"), "left").select("e.*", "s.ord")
     return hit.groupBy("ticker", "start", "end", "start_ord").agg(F.min("ord").alias("first")).select("ticker", "start", "end", (F.col("first") - F.col("start_ord")).alias("lag"))
 
 

@@ -11,7 +11,12 @@ from chronopanel.streaming import streams
 
 
 def _work(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronopanel-stream-")
+    """The folder that driver and executors share; a folder of its own only for a local session, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="chronopanel-stream-")
 
 
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_now(stream: DataFrame, mode: str, work: str) -> DataFrame:
-    """All that the stream has now, as a table in memory, by one availableNow run."""
-    name = f"t{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{work}/{name}").trigger(availableNow=True).start()
+    """All that the stream has now, by one availableNow run: batches are written as Parquet in the shared folder, so that
+    no result passes through the driver. With mode complete the last batch stands, else all of them."""
+    path = f"{work}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{'last' if mode == 'complete' else f'batch-{number}'}")
+
+    # Without any row no batch runs; an empty one keeps the folder readable.
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{path}/out/none")
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out/*")
 
 
 def tumbling(events: DataFrame) -> DataFrame:

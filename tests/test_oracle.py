@@ -1,8 +1,11 @@
 """Every query of the panel engine against its SQL in DuckDB, at the smallest scale."""
 
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from chronopanel.plans import registry
@@ -18,9 +21,17 @@ def db():
     return con
 
 
+def cell(x):
+    """Numbers by value, to six places and with one zero; all else as text."""
+    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        return ""
+    if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)):
+        return f"{round(float(x), 6) + 0.0:.6f}"
+    return str(x).removesuffix(" 00:00:00")
+
+
 def table(df):
-    df = df[sorted(df.columns)].astype(object)
-    return sorted(map(tuple, df.where(df.notna(), None).astype(str).replace(r" 00:00:00$", "", regex=True).values.tolist()))
+    return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -32,5 +43,6 @@ def test_query(spark, db, name):
         a, b = table(got), table(want)
         assert len(a) == len(b)
         assert [x for x, y in zip(a, b) if x != y][:3] == [y for x, y in zip(a, b) if x != y][:3]
-    else:
-        assert len(got) >= 0 and len(got.columns)
+    else:  # iterative or seeded numerics: rows with sound values, and the same again from the same seeds
+        assert len(got) and len(got.columns)
+        assert table(registry.queries()[name](spark, SF).toPandas()) == table(got)

@@ -374,15 +374,17 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
 def still_open(members: DataFrame) -> DataFrame:
     """The members of keys whose members are not all of one part: only these can hold a pair that is still apart. Counts
     are combined before they are shuffled, so a key of very many members costs no task more than others."""
-    keys = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("times")).where("a <> b").select("key", F.ceil(F.col("times") / CELL).cast("int").alias("sides"))
-    return members.drop("sides").join(keys.hint("merge"), "key")
+    keys = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+    return members.join(keys.hint("merge"), "key")
 
 
 def candidates(members: DataFrame, least: float, star: bool) -> DataFrame:
     """(u, v), u > v: of open members (still_open) all pairs of sets of the similarity whose parts differ, and others that
     the filters let pass, each once. With star each set has one pair at most, with the set that is the first of most of
     its keys, as a cheap way to join what is left of large groups."""
+    sides = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("sides"))
     side = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("sides")).cast("int")
+    members = members.join(sides.hint("merge"), "key")
     if star:
         placed = members.select("sid", "pos", "n", "part", F.xxhash64("key", side).alias("cell"))
     else:
@@ -450,10 +452,11 @@ def _exact(docs: DataFrame, words: int, distance: int, segments: int, reach: int
         parts = components(first).select(F.col("u").alias("sid"), F.col("v").alias("part"))
         of_part = F.coalesce("part", "sid").alias("part")
         if members is None:
-            before = stored(_prefixes(sets.join(parts.hint("merge"), "sid", "left").select("sid", "set", of_part), least), "keys")
+            # Worked out twice, for the open keys and for their members, rather than written: most keys are of one set.
+            before = _prefixes(sets.join(parts.hint("merge"), "sid", "left").select("sid", "set", of_part), least)
         else:
             before = members.drop("part").join(parts.hint("merge"), "sid", "left").select("key", "sid", "pos", "n", of_part)
-        members, used = stored(still_open(before), "members"), [before if members is None else members]
+        members, used = stored(still_open(before), "members"), [] if members is None else [members]
         rest = stored(candidates(members, least, star), "candidates")
         first, used = stored(first.unionByName(_verified(rest, sets, least)), "found"), [*used, rest, first]
         for done in used:

@@ -149,7 +149,9 @@ def top_k(
         return _table(_TOPS, [np.full(len(some), t["xb"][0].as_py()), some, _lists(ids[take], sizes), _lists(sums[take], sizes)])
 
     tops = stored(sent.groupBy("qb", "xb").applyInArrow(complete, _TOPS), "tops")
-    better = kth(tops.select("query", "xb", F.col("score").alias("best"))).join(cut, "query", "left").select("query", F.greatest("c", "cutoff").alias("better"), F.ceil(F.col("cutoff") / m).alias("least"))
+    # Queries without a cutoff, or of which no candidate was sent by all lists, are among these too.
+    known = asking.select(F.col("row").alias("query")).join(cut, "query", "left").join(kth(tops.select("query", "xb", F.col("score").alias("best"))), "query", "left")
+    better = known.select("query", F.greatest("c", "cutoff").alias("better"), F.ceil(F.col("cutoff") / m).alias("least"))
 
     def open_(t: pa.Table) -> pa.Table:
         row, cand, _, sums, seen = _merged(t)

@@ -291,6 +291,8 @@ def test_topk(spark):
     df = spark.createDataFrame([(*r, 1, "x", 2.0) for r in vectors], "vec_id long, embedding array<double>, id int, query string, score double")
     for block, slices in ((16, 2), (16, 3), (1024, 2)):
         assert sorted(rows(topk.top_k(df, F.col("id") % 20 == 0, block=block, slices=slices))) == brute_topk(vectors)
+    apart = [(i, [5.0, -4.0] if i % 2 else [-4.0, 5.0]) for i in range(1, 60)] + [(0, [1.0, 1.0]), (60, [2.0, 2.0])]  # no pair reaches both shares
+    assert sorted(rows(topk.top_k(spark.createDataFrame(apart, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, block=8))) == brute_topk(apart)
     longer = [(i, [1.0 + i, 2.0]) for i in range(40)] + [(50, [1.0, 1.0, 1.0])]
     assert sorted(rows(topk.top_k(spark.createDataFrame(longer, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0))) == brute_topk(longer)
     assert topk.top_k(df.where("vec_id < 3"), F.col("id") % 20 == 0).count() == 2

@@ -71,6 +71,18 @@ def wide(panel: DataFrame, tickers: list[str], columns: list[str]) -> DataFrame:
     return panel.groupBy("date").agg(*cells)
 
 
+#: The twelve features of a ticker, in the order of asset_features.
+ASSET = ["ret", "vol_20", "vol_60", "down_60", "dvol", "mom_20", "mom_60", "skew_60", "kurt_60", "beta_60", "volume_ratio", "dist_high"]
+
+
+def asset_features(panel: DataFrame) -> DataFrame:
+    """Adds all of ASSET."""
+    rows = panel
+    for add in (beta, realised_vol, downside_vol, vol_change, momentum, moments, volume_ratio, distance_from_high):
+        rows = add(rows)
+    return rows
+
+
 # Across tickers
 
 

@@ -99,6 +99,20 @@ def select_alpha(predictions: DataFrame) -> DataFrame:
     return mse.orderBy("mse", F.desc("alpha")).limit(1)
 
 
+def inner_folds(folds: DataFrame, share: float = 0.2, embargo_days: int = 35) -> DataFrame:
+    """Each fold's fit window cut in two, so that a choice sees none of the rows that the fold applies to: its last share
+    of days is what the inner fold applies to, and embargo_days before these are left out of the fit."""
+    cut = F.date_add("fit_start", ((1 - share) * F.date_diff("fit_end", "fit_start")).cast("int"))
+    inner = folds.select("fold", "fit_start", F.date_sub(cut, embargo_days).alias("__end"), cut.alias("apply_start"), F.col("fit_end").alias("apply_end"))
+    return inner.withColumnRenamed("__end", "fit_end").where("fit_start < fit_end")
+
+
+def select_alphas(predictions: DataFrame) -> DataFrame:
+    """(fold, alpha, mse): each fold's alpha of least squared error; of equal ones the larger."""
+    mse = predictions.groupBy("fold", "alpha").agg(F.avg(F.pow(F.col("y") - F.col("pred"), 2)).alias("mse"))
+    return mse.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy("mse", F.desc("alpha")))).where("r = 1").drop("r")
+
+
 def oos_r2(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """predictions (keys, y, pred, base) -> 1 - squared error over that of base, the fit mean of each fold."""
     e, b = F.sum(F.pow(F.col("y") - F.col("pred"), 2)), F.sum(F.pow(F.col("y") - F.col("base"), 2))

@@ -60,15 +60,19 @@ FROM e WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
 
 
 def wide_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = weekly(spark, sf_dir)
-    every = f.realised_vol(panel, (20,))
-    w = f.wide(every, TICKERS, ["ret", "vol_20"])
+    w = f.wide(f.asset_features(weekly(spark, sf_dir)), TICKERS, f.ASSET)
     return rounded(w, *[c for c in w.columns if c != "date"], keys=("date",))
 
 
-_WIDE = RET + f", v AS (SELECT *, {full('stddev_samp', 'ret', 20)} * sqrt(252) AS vol_20 FROM r) SELECT date, " + ", ".join(
-    f"round(max({c}) FILTER (ticker = '{t}'), 6) AS {t}_{c}" for t in TICKERS for c in ("ret", "vol_20")
-) + " FROM v GROUP BY date"
+_BY = "OVER (PARTITION BY ticker ORDER BY date)"
+_ASSET = RET + f""", m AS (SELECT date, avg(close) AS mc FROM panel GROUP BY date), b AS (SELECT date, ln(mc) - lag(ln(mc)) OVER (ORDER BY date) AS mr FROM m),
+j AS (SELECT r.*, CASE WHEN mr IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL THEN mr END AS x, CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END AS neg FROM r JOIN b USING (date)),
+v AS (SELECT *, {full('stddev_samp', 'ret', 20)} * sqrt(252) AS vol_20, {full('stddev_samp', 'ret', 60)} * sqrt(252) AS vol_60, sqrt({full('avg', 'neg', 60)}) * sqrt(252) AS down_60,
+  lag(ln(close), 5) {_BY} - lag(ln(close), 25) {_BY} AS mom_20, lag(ln(close), 5) {_BY} - lag(ln(close), 65) {_BY} AS mom_60, {full('skewness', 'ret', 60)} AS skew_60, {full('kurtosis', 'ret', 60)} AS kurt_60,
+  CASE WHEN count(x) OVER {frame(60)} = 60 AND var_samp(x) OVER {frame(60)} > 0 THEN covar_samp(y, x) OVER {frame(60)} / var_samp(x) OVER {frame(60)} END AS beta_60,
+  volume / nullif({full('avg', 'volume', 20)}, 0) AS volume_ratio, close / {full('max', 'close', 252)} - 1 AS dist_high FROM j),
+a AS (SELECT *, ln(CASE WHEN vol_20 > 0 THEN vol_20 END) - lag(ln(CASE WHEN vol_20 > 0 THEN vol_20 END)) {_BY} AS dvol FROM v)"""
+_WIDE = _ASSET + " SELECT date, " + ", ".join(f"round(max({c}) FILTER (ticker = '{t}'), 6) AS {t}_{c}" for t in TICKERS for c in f.ASSET) + " FROM a GROUP BY date"
 
 _BETA = RET + f""", m AS (SELECT date, avg(close) AS mc FROM panel GROUP BY date), b AS (SELECT date, ln(mc) - lag(ln(mc)) OVER (ORDER BY date) AS mr FROM m),
 j AS (SELECT r.date, ticker, CASE WHEN mr IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL THEN mr END AS x FROM r JOIN b USING (date))

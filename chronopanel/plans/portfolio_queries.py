@@ -132,7 +132,12 @@ def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ridge_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.select_alpha(ridge(spark, sf_dir))
+    """Each fold's alpha, chosen within its fit window, and the error of it where the fold applies."""
+    rows, folds = _design(spark, sf_dir)
+    run = lambda f: stats.ridge_walkforward(rows, f, ["ret", "vol_20"], "fwd_ret_5")
+    chosen = stats.select_alphas(run(stats.inner_folds(folds))).select("fold", "alpha", F.col("mse").alias("val_mse"))
+    scored = run(folds).groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("pred"), 2)).alias("mse"))
+    return chosen.join(scored, ["fold", "alpha"])
 
 
 def oos_r2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ linked fingerprints, so that large groups of near copies give as many rows as th
 Fingerprints near each other tell little about Jaccard similarities near 0.8. Where a least similarity is asked for, they
 are a first pass only: their links are verified on the sets of shingles, and an exact set join finds all pairs that the
 verified links leave apart. A set's shingles are ordered by (weight, hash), the weights being counts of frequent ones, and
-two sets of the similarity share one of their first n - ceil(t * n) + 1 (prefix filter). Sizes and places in the order
-prune (length and positional filter), the whole sets verify. Sets are of 40-bit hashes of shingles and stand for them:
+two sets of the similarity share one of their first n - ceil(t * n) + 1 (prefix filter). Sizes, places in the order and the
+number of shared shingles in the prefixes prune (length, positional and count filter), the whole sets verify. Sets are of 40-bit hashes of shingles and stand for them:
 two documents of n shingles share a hash by chance once in 2**40 / n**2 pairs.
 """
 
@@ -334,18 +334,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, least: float, star: bool) -> np.ndarray:
-    """Pairs of rows of one cell, of different parts, that sizes and places in the order allow; with star only those
-    with the cell's first row."""
+    """(a, b, first, need): pairs of rows of one cell, of different parts, that sizes and places in the order allow; with
+    star only those with the cell's first row. first says whether the key can be the first that the two sets share, need
+    how many keys of their prefixes two sets of the similarity share at least: beyond the prefix that ends first in the
+    order, that set has ceil(t * n) - 1 shingles."""
 
     def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        common = np.ceil(least / (1 + least) * (size[a] + size[b]) - 1e-9)
-        ok = (part[a] != part[b]) & (np.minimum(size[a], size[b]) + 1e-9 >= least * np.maximum(size[a], size[b]))
-        ok &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= common
-        return np.stack([a[ok], b[ok]])
+        large = np.maximum(size[a], size[b])
+        common = np.ceil(least / (1 + least) * (size[a] + size[b]) - 1e-9).astype(np.int64)
+        after = np.minimum(size[a] - pos[a], size[b] - pos[b])
+        ok = (part[a] != part[b]) & (np.minimum(size[a], size[b]) + 1e-9 >= least * large)
+        ok &= (after if star else after + np.minimum(pos[a], pos[b])) >= common
+        need = common - np.ceil(least * large - 1e-9).astype(np.int64) + 1
+        return np.stack([a, b, after >= common, need])[:, ok]
 
     if star:
         return allowed(np.searchsorted(cells, cells), np.arange(len(cells)))
-    at, step, found = np.arange(len(cells) - 1), 1, [np.zeros((2, 0), np.int64)]
+    at, step, found = np.arange(len(cells) - 1), 1, [np.zeros((4, 0), np.int64)]
     while len(at := at[at + step < len(cells)]) and len(at := at[cells[at] == cells[at + step]]):
         found.append(allowed(at, at + step))
         step += 1
@@ -353,7 +358,7 @@ def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarra
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(key, sid, pos, n, part): the first shingles of each set (sid, set, part), their places and the set's size."""
+    """(key, sid, pos, n): the first shingles of each set (sid, set), their places and the set's size."""
     heavy, weight = _weights(sets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,10 +370,17 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
                 firsts = [prefix(h, heavy, weight, least) if len(h) else h for h in whole]
                 times = [len(x) for x in firsts]
                 pos = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
-                cols = [np.concatenate(firsts).astype(np.int64), np.repeat(cut["sid"].to_numpy(), times), pos, np.repeat(n, times).astype(np.int32), np.repeat(cut["part"].to_numpy(), times)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "pos", "n", "part"])
+                cols = [np.concatenate(firsts).astype(np.int64), np.repeat(cut["sid"].to_numpy(), times), pos, np.repeat(n, times).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "pos", "n"])
 
-    return sets.select("sid", "set", "part").mapInArrow(send, "key long, sid long, pos int, n int, part long")
+    return sets.select("sid", "set").mapInArrow(send, "key long, sid long, pos int, n int")
+
+
+def shared(prefixes: DataFrame) -> DataFrame:
+    """The rows of prefixes whose key more than one set has. prefixes are worked out twice, for counts and for rows,
+    rather than written: most keys are of one set."""
+    keys = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key")
+    return prefixes.join(keys.hint("merge"), "key")
 
 
 def still_open(members: DataFrame) -> DataFrame:
@@ -380,7 +392,7 @@ def still_open(members: DataFrame) -> DataFrame:
 
 def candidates(members: DataFrame, least: float, star: bool) -> DataFrame:
     """(u, v), u > v: of open members (still_open) all pairs of sets of the similarity whose parts differ, and others that
-    the filters let pass, each once. With star each set has one pair at most, with the set that is the first of most of
+    the filters let pass, each once; keys of a pair are counted at least as often as it shares them. With star each set has one pair at most, with the set that is the first of most of
     its keys, as a cheap way to join what is left of large groups."""
     sides = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("sides"))
     side = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("sides")).cast("int")
@@ -392,13 +404,20 @@ def candidates(members: DataFrame, least: float, star: bool) -> DataFrame:
         placed = placed.select("sid", "pos", "n", "part", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
 
     def pairs(cell: np.ndarray, sid: np.ndarray, pos: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        a, b = _apart(cell, n, pos, part, least, star)
-        both, times = np.unique(np.stack([np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])], axis=1), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(times)], ["u", "v", "times"])
+        a, b, first, need = _apart(cell, n, pos, part, least, star)
+        u, v = np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])
+        order = np.lexsort((v, u))
+        u, v, first, need = u[order], v[order], first[order], need[order]
+        new = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
+        times, leads = np.diff(np.append(new, len(u))), np.maximum.reduceat(first, new) if len(u) else first
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (u[new], v[new], times, leads, need[new])], ["u", "v", "times", "first", "need"])
 
     cells = placed.repartition("cell").sortWithinPartitions("cell", "sid")
-    found = cells.mapInArrow(_by_runs(["cell", "sid", "pos", "n", "part"], pairs), "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
-    return found.groupBy("u").agg(F.max_by("v", F.struct("times", "v")).alias("v")) if star else found.select("u", "v")
+    found = cells.mapInArrow(_by_runs(["cell", "sid", "pos", "n", "part"], pairs), "u long, v long, times long, first long, need long")
+    found = found.groupBy("u", "v").agg(F.sum("times").alias("times"), F.max("first").alias("first"), F.max("need").alias("need"))
+    if star:
+        return found.groupBy("u").agg(F.max_by("v", F.struct("times", "v")).alias("v"))
+    return found.where("first = 1 and times >= need").select("u", "v")
 
 
 def near_duplicates(
@@ -451,12 +470,9 @@ def _exact(docs: DataFrame, words: int, distance: int, segments: int, reach: int
     for star in (True, True, False):
         parts = components(first).select(F.col("u").alias("sid"), F.col("v").alias("part"))
         of_part = F.coalesce("part", "sid").alias("part")
-        if members is None:
-            # Worked out twice, for the open keys and for their members, rather than written: most keys are of one set.
-            before = _prefixes(sets.join(parts.hint("merge"), "sid", "left").select("sid", "set", of_part), least)
-        else:
-            before = members.drop("part").join(parts.hint("merge"), "sid", "left").select("key", "sid", "pos", "n", of_part)
-        members, used = stored(still_open(before), "members"), [] if members is None else [members]
+        before = stored(shared(_prefixes(sets, least)), "shared") if members is None else members.drop("part")
+        members = stored(still_open(before.join(parts.hint("merge"), "sid", "left").select("key", "sid", "pos", "n", of_part)), "members")
+        used = [before]
         rest = stored(candidates(members, least, star), "candidates")
         first, used = stored(first.unionByName(_verified(rest, sets, least)), "found"), [*used, rest, first]
         for done in used:

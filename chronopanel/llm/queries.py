@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, katz, license_scan, line_dedup, mixing, quality, simhash, token_counts, topk, url_filter
+from . import byte_bpe, filter_audit, fingerprints, katz, license_scan, line_dedup, mixing, quality, resampling, simhash, token_counts, topk, url_filter
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operators, here their package's own answer.
@@ -86,8 +86,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"__mix.{c}").alias(c) for c in ("domain", "lang", "source", "epoch", "n_tokens", "before")])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.chained(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op4_quality_rules, op5_topk, op6_license_scans, op7_byte_bpe, op8_katz, op9_line_dedup, op10_mixing)}
+    first = (op1_url_filters, op2_token_counts, op3_simhash, op4_quality_rules, op5_topk, op6_license_scans, op7_byte_bpe, op8_katz, op9_line_dedup, op10_mixing)
+    return {f.__name__: f for f in (*first, op11_filter_audit, op12_resampling, op13_fingerprints)}
 
 
 _URLS = r"""
@@ -166,5 +180,46 @@ SELECT doc_id, p.domain, p.lang, p.source, epoch, n_tokens, before FROM p JOIN b
 """
 
 
+#: The audit by its definition: every order, every step, every document's mask.
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copy THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits FROM f f1, f f2, f f3, f f4, f f5
+  WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31 AND len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS me, coalesce(list_sum(bits[:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) t(step)),
+r AS (SELECT part, filter_order, step, me, sum(CASE WHEN mask & (before | me) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & me <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before <> 0 AND mask & me <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = me THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & me <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & me <> 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, me) AS BIGINT) AS shapley FROM r
+"""
+
+#: CRC-32 byte by byte over the distinct features, with its table from the rule.
+_RESAMPLE = r"""
+WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+x AS (SELECT doc_id AS id, text, true AS mine FROM documents UNION ALL SELECT item_id, text, false FROM benchmark),
+w AS (SELECT row_number() OVER () AS no, id, mine, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+e AS (SELECT no, mine, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+n AS (SELECT no, mine, f, count(*) AS n FROM e GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, k: xor(tab[CAST(xor(c, k) & 255 AS BIGINT) + 1], c >> 8)), 4294967295) % 10000 AS b FROM h, tab),
+k AS (SELECT no, mine, b, sum(n) AS n FROM n JOIN b USING (f) GROUP BY ALL),
+t AS (SELECT b, CAST(coalesce(sum(n) FILTER (mine), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (NOT mine), 0) AS DOUBLE) AS t FROM k GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM t),
+v AS (SELECT no, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM k JOIN g USING (b) WHERE mine GROUP BY no),
+d AS (SELECT id AS doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+  (CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM w LEFT JOIN v USING (no) WHERE mine),
+z AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 THEN CASE WHEN r <= 25 * N // 100 THEN r END END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY words >= 20) AS N FROM z)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _URLS, "op5_topk": _TOPK, "op9_line_dedup": _LINES, "op10_mixing": _mix_sql()}
+    return {"op1_url_filters": _URLS, "op5_topk": _TOPK, "op9_line_dedup": _LINES, "op10_mixing": _mix_sql(), "op11_filter_audit": _AUDIT, "op12_resampling": _RESAMPLE}

@@ -23,7 +23,7 @@ def db():
 
 def cell(x):
     """Numbers by value, to six places and with one zero; all else as text."""
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return ""
     if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)):
         return f"{round(float(x), 6) + 0.0:.6f}"

@@ -12,6 +12,8 @@ budget is reached: all documents whose tokens before them in that order are unde
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,29 +31,38 @@ def word_count(text: Column) -> Column:
 
 
 def share(children: DataFrame, by: list[str]) -> DataFrame:
-    """Adds budget to children (by..., supply, weight, total): total shared out among the rows of equal by."""
+    """Adds budget to children (by..., supply, weight, total): total shared out among the rows of equal by.
+    A child of weight 0 must have the supply 0."""
     ratio = Window.partitionBy(*by).orderBy(F.col("__ratio"), F.col("__name"))
     group = Window.partitionBy(*by)
-    c = children.withColumn("__ratio", F.col("supply") / F.col("weight"))
+    # Children of weight 0 come with nothing to supply and stand first, so that they change no sum.
+    c = children.withColumn("__ratio", F.coalesce(F.try_divide("supply", "weight"), F.lit(0.0)))
     full = F.coalesce(F.sum("supply").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(ratio.rowsBetween(0, Window.unboundedFollowing))
     # The level if this child and all after it are not exhausted; the first child whose ratio reaches it sets it.
-    c = c.withColumn("__level", (F.col("total") - full) / rest)
+    c = c.withColumn("__level", F.when(F.col("weight") > 0, (F.col("total") - full) / rest))
     level = F.min(F.when(F.col("__ratio") >= F.col("__level"), F.struct("__ratio", "__name", "__level"))).over(group)["__level"]
     return c.withColumn("budget", F.when(level.isNull(), F.col("supply")).otherwise(F.greatest(F.lit(0.0), F.least(F.col("supply"), F.col("weight") * level)))).drop("__ratio", "__level")
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, dict], total: Column, epochs: int) -> DataFrame:
     """leaves: (domain, lang, source, tokens) -> the same with budget. weights: for each level, name -> weight; names
-    that are not listed have weight 1."""
-    tree = leaves.withColumn("supply", F.col("tokens").cast("double") * epochs)
+    that are not listed have weight 1, those of weight 0 and all below them get nothing; negative ones are an error."""
+    if any(w < 0 for level in weights.values() for w in level.values()):
+        raise ValueError("negative weight")
+
+    def given(level: str) -> Column:
+        named = [F.lit(x) for k, v in weights.get(level, {}).items() for x in (k, float(v))]
+        return F.coalesce(F.create_map(*named)[F.col(level)], F.lit(1.0)) if named else F.lit(1.0)
+
+    wanted = reduce(lambda a, b: a & b, [given(level) > 0 for level in LEVELS])
+    tree = leaves.withColumn("supply", F.when(wanted, F.col("tokens").cast("double") * epochs).otherwise(0.0))
     budgets = leaves.sparkSession.range(1).select(total.cast("double").alias("total"))
     above: list[str] = []
     for level in LEVELS:
         at = [*above, level]
         nodes = tree.groupBy(*at).agg(F.sum("supply").alias("supply"))
-        given = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.get(level, {}).items() for x in (kv[0], float(kv[1]))])[F.col(level)], F.lit(1.0)) if weights.get(level) else F.lit(1.0)
-        nodes = nodes.withColumn("weight", given).withColumn("__name", F.col(level))
+        nodes = nodes.withColumn("weight", given(level)).withColumn("__name", F.col(level))
         nodes = nodes.crossJoin(budgets) if not above else nodes.join(budgets, above)  # budgets has one row at the root
         budgets = share(nodes, above or [F.lit(0)]).select(*at, F.col("budget").alias("total"))
         above = at

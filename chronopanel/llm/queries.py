@@ -130,20 +130,22 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 _LINES = r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no, unnest(string_split(text, chr(10))) AS line FROM documents),
-m AS (SELECT *, regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS masked FROM l),
-t AS (SELECT doc_id, no, line, trim(regexp_replace(CASE WHEN 2 * (length(masked) - length(replace(masked, '<*>', ''))) / 3 > len(regexp_extract_all(masked, '[^\x20\x09-\x0D]+'))
-  THEN line ELSE masked END, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS leaf FROM m),
-w AS (SELECT *, string_split(leaf, ' ') AS t, len(string_split(leaf, ' ')) AS n, (length(leaf) - length(replace(leaf, '<*>', ''))) / 3 AS f FROM t WHERE leaf <> ''),
-p AS (SELECT doc_id, no, n, s, CASE WHEN s < 0 THEN leaf ELSE array_to_string(t[:n * s // {segments}], ' ') || ' <*> ' || array_to_string(t[n * (s + 1) // {segments} + 1:], ' ') END AS path
-  FROM (SELECT *, unnest(CASE WHEN n >= {least} AND 5 * (n - f - ceil(n / {segments})) >= 3 * n THEN range({segments}) ELSE [-1] END) AS s FROM w)),
-r AS (SELECT n, s, path, min(doc_id) AS first FROM p GROUP BY ALL HAVING count(DISTINCT doc_id) > 1),
+t AS (SELECT doc_id, no, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS leaf FROM l),
+m AS (SELECT *, list_transform(string_split(leaf, ' '), lambda x, i: CASE WHEN regexp_matches(x, '[0-9]') OR i > 1 AND regexp_matches(x, '^[A-Z]') THEN '<*>' ELSE x END) AS t FROM t WHERE leaf <> ''),
+w AS (SELECT *, len(t) AS n, array_to_string(t, ' ') AS masked, (length(masked) - length(replace(masked, '<*>', ''))) / 3 AS f,
+  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2))::INTEGER % 64 AS dc, ('0x' || substr(md5(leaf), 1, 2))::INTEGER % 64 AS vc FROM m),
+p AS (SELECT doc_id, no, n, s, dc, vc, CASE s WHEN -1 THEN leaf WHEN -2 THEN masked ELSE array_to_string(t[:n * s // {segments}], ' ') || ' <*> ' || array_to_string(t[n * (s + 1) // {segments} + 1:], ' ') END AS path
+  FROM (SELECT *, unnest(list_concat([-1], CASE WHEN n >= {least} AND f > 0 AND 5 * (n - f) >= 3 * n THEN [-2] ELSE [] END,
+    CASE WHEN n >= {least} AND 5 * (n - f - ceil(n / {segments})) >= 3 * n THEN range({segments}) ELSE [] END)) AS s FROM w)),
+r AS (SELECT n, s, path, min(doc_id) AS first FROM p GROUP BY ALL
+  HAVING CASE WHEN s = -1 THEN count(DISTINCT doc_id) > 1 ELSE count(DISTINCT dc) >= {documents} AND count(DISTINCT vc) >= {variants} END),
 x AS (SELECT DISTINCT doc_id, no FROM p JOIN r USING (n, s, path) WHERE doc_id <> first),
 k AS (SELECT t.* FROM t ANTI JOIN x USING (doc_id, no)),
 g AS (SELECT doc_id, CASE WHEN max(leaf) <> '' THEN string_agg(line, chr(10) ORDER BY no) ELSE '' END AS text, count(*) AS n FROM k GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN g.n = n.n THEN d.text ELSE coalesce(g.text, '') END AS text, d.lang, d.source, d.n_chars
 FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
-""".format(segments=line_dedup.SEGMENTS, least=line_dedup.LEAST)
+""".format(segments=line_dedup.SEGMENTS, least=line_dedup.LEAST, documents=line_dedup.DOCUMENTS, variants=line_dedup.VARIANTS)
 
 
 def _share_sql(name: str, above: list[str], level: str, weights: str) -> str:

@@ -409,24 +409,30 @@ def brute_lines(docs):
 
     def paths(line):
         w = WORD.findall(line)
-        masked = ["<*>" if re.search("[0-9]", x) else x for x in w]
-        if 2 * masked.count("<*>") <= len(w):
-            w = masked
-        n, m = len(w), " ".join(w).count("<*>")
-        if n >= 5 and 5 * (n - m - -(-n // 4)) >= 3 * n:
-            return [(s, *w[: n * s // 4], None, *w[n * (s + 1) // 4 :]) for s in range(4)]
-        return [(-1, *w)] if w else []
+        if not w:
+            return []
+        m = ["<*>" if re.search("[0-9]", x) or (k and "A" <= x[0] <= "Z") else x for k, x in enumerate(w)]
+        n, f = len(w), " ".join(m).count("<*>")
+        out = [(-1, *w)]
+        if n >= 5 and f and 5 * (n - f) >= 3 * n:
+            out.append((-2, *m))
+        if n >= 5 and 5 * (n - f - -(-n // 4)) >= 3 * n:
+            out += [(s, *m[: n * s // 4], None, *m[n * (s + 1) // 4 :]) for s in range(4)]
+        return out
 
     order = lambda i: (i is not None, i)
-    where = defaultdict(set)
+    kind = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:2], 16) % 64
+    where, contents = defaultdict(set), defaultdict(set)
     for i, t in docs:
         for x in (t or "").split("\n"):
             for p in paths(x):
                 where[p].add(order(i))
+                contents[p].add(kind(" ".join(WORD.findall(x))))
+    recurs = {p for p, ids in where.items() if (len(ids) > 1 if p[0] == -1 else len({kind("" if i is None else str(i)) for _, i in ids}) >= 8 and len(contents[p]) >= 8)}
     out = []
     for i, t in docs:
         lines = (t or "").split("\n")
-        stay = [x for x in lines if all(min(where[p]) == order(i) for p in paths(x))]
+        stay = [x for x in lines if all(min(where[p]) == order(i) for p in recurs.intersection(paths(x)))]
         out.append(t if t is None or len(stay) == len(lines) else "\n".join(stay) if any(WORD.search(x) for x in stay) else "")
     return out
 
@@ -439,11 +445,15 @@ def test_line_dedup(spark, odd, odd_rows, empty):
 
 
 def test_line_dedup_generalises_fields(spark):
-    texts = ["user alice logged in ok\nown words of the first", "user bob logged in ok\nall else than in others 7", "user carol logged in ok", "user guide of the system", "Posted by Anna Berg at 10:30 in News and more\n12 34 56", "Posted by Boris Holm at 9:15 in News and more\n12 34 57", "one two\nthree four five", "one six\nthree four ten"]
-    docs = list(enumerate(texts))
+    """Templates take many contents in many documents; lines that are merely alike stay, equal ones recur in two."""
+    names = ["Anna", "Boris", "Carla", "Dmitri", "Emil", "Fatima", "Greta", "Hugo", "Ines", "Jonas", "Kira", "Levi", "Mona", "Nils"]
+    docs = [(i, f"own words of number {x}\nPosted by {x} in {y}\nuser {x.lower()} logged in ok") for i, (x, y) in enumerate(zip(names, names[5:] + names[:5], strict=True))]
+    few = ["the drug is safe for children", "the drug is unsafe for children", "Prices rose by two percent", "Prices rose by ten points", "in 1999 it was 40 million", "in 2001 it was 50 million", "one two", "one two", "a b c d e f", "a  b\tc d e f"]
+    docs += [(100 + i, f"{x}\nall else in {i}") for i, x in enumerate(few)]
     got = {r[0]: r[1] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(brute_lines(docs)))
-    assert (got[0], got[1], got[2], got[5], got[7]) == (texts[0], "all else than in others 7", "", "12 34 57", texts[7])
+    assert got == {i: t for (i, _), t in zip(docs, brute_lines(docs), strict=True)}
+    assert got[0] == docs[0][1] and all("Posted" not in got[i] and "logged" not in got[i] for i in range(1, 14))
+    assert all(few[i] in got[100 + i] for i in range(7)) and few[7] not in got[107] and few[8] in got[108] and "\t" not in got[109]
 
 
 def brute_budgets(children, total):
@@ -462,6 +472,17 @@ def brute_budgets(children, total):
     return out
 
 
+def test_mixing_without_a_source(spark):
+    """Weight 0 leaves a name out, at any level; a name of its own weight gets what is left."""
+    docs = spark.createDataFrame([(i, "w " * 10, "en" if i % 2 else "de", f"s{i % 3}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    got = rows(mixing.mix(docs, {"source": {"s1": 0.0}}, 0.5).groupBy("source").count())
+    assert sorted(got) == [("s0", 15), ("s2", 15)] or {r[0] for r in got} == {"s0", "s2"}
+    assert rows(mixing.mix(docs, {"lang": {"en": 0, "de": 0}}, 0.5)) == []
+    assert {r[0] for r in rows(mixing.mix(docs, {"lang": {"en": 0}}, 1.0).select("lang"))} == {"de"}
+    with pytest.raises(ValueError, match="negative"):
+        mixing.mix(docs, {"lang": {"en": -1}}, 0.5)
+
+
 def test_mixing_budgets(spark):
     leaves = [("a", "en", "s0", 100), ("a", "en", "s1", 900), ("a", "de", "s0", 50), ("b", "en", "s0", 20), ("b", "fr", "s3", 10), ("c", "en", "s9", 5000), ("c", "en", "s8", 0)]
     weights = {"domain": {"a": 3.0, "b": 2.0}, "lang": {"de": 2.0}, "source": {"s1": 0.5}}

@@ -51,27 +51,6 @@ def transitions(states: DataFrame) -> DataFrame:
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("ticker", "a")))
 
 
-def filtered_posteriors(rows: DataFrame, value: str, start: list[float], moves: list[list[float]], means: list[float], stds: list[float]) -> DataFrame:
-    """Adds p_0.. and loglik to rows (ticker, date, value): the forward recursion of a Gaussian hidden Markov model with
-    given parameters. Each step depends on the last, so a ticker's values are gathered in order and folded once."""
-    k = len(start)
-
-    def emit(x: Column, j: int) -> Column:
-        return F.exp(-0.5 * F.pow((x - means[j]) / stds[j], 2)) / (stds[j] * math.sqrt(2 * math.pi))
-
-    def step(state: Column, x: Column) -> Column:
-        prior = [F.when(state["first"], F.lit(start[j])).otherwise(sum((state[f"p{i}"] * moves[i][j] for i in range(k)), F.lit(0.0))) for j in range(k)]
-        joint = F.struct(*[(prior[j] * emit(x["v"], j)).alias(f"a{j}") for j in range(k)])
-        total = lambda a: sum((a[f"a{j}"] for j in range(k)), F.lit(0.0))
-        made = F.transform(F.array(joint), lambda a: F.struct(F.lit(False).alias("first"), *[(a[f"a{j}"] / total(a)).alias(f"p{j}") for j in range(k)], F.ln(total(a)).alias("ll")))[0]
-        return F.struct(made["first"].alias("first"), *[made[f"p{j}"].alias(f"p{j}") for j in range(k)], F.concat(state["out"], F.array(F.struct(x["date"].alias("date"), *[made[f"p{j}"].alias(f"p_{j}") for j in range(k)], made["ll"].alias("loglik")))).alias("out"))
-
-    path = rows.where(F.col(value).isNotNull()).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", F.col(value).alias("v")))).alias("path"))
-    kind = "array<struct<date: date, " + "".join(f"p_{j}: double, " for j in range(k)) + "loglik: double>>"
-    zero = F.struct(F.lit(True).alias("first"), *[F.lit(0.0).alias(f"p{j}") for j in range(k)], F.array().cast(kind).alias("out"))
-    return path.select("ticker", F.inline(F.aggregate("path", zero, step)["out"]))
-
-
 def posterior_quality(posteriors: DataFrame, k: int) -> DataFrame:
     """(ticker, entropy, median_top, flip_rate): mean entropy, median of the largest posterior, share of rows whose likeliest
     state is another than the row's before."""

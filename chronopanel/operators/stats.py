@@ -71,28 +71,6 @@ def gates(intervals: DataFrame, lower_is_better: bool = True, needed: int = 3) -
 # Probes
 
 
-def ridge_walkforward(rows: DataFrame, folds: DataFrame, features: list[str], target: str, alphas: tuple[float, ...] = (0.1, 10.0, 1000.0)) -> DataFrame:
-    """(fold, alpha, date, ticker, y, pred): in each fold features are centred and scaled on the fit rows and one singular
-    value decomposition serves all alphas. Fold by fold, as each fit is one small regression."""
-    complete = rows.dropna(subset=[*features, target]).select("date", "ticker", *features, F.col(target).alias("y"))
-    spans = F.broadcast(folds)  # one row a fold of the calendar
-    tasks = complete.join(spans, F.col("date").between(F.col("fit_start"), F.col("fit_end")) | F.col("date").between(F.col("apply_start"), F.col("apply_end"))).withColumn("fit", F.col("date") <= F.col("fit_end"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, use = pdf[pdf["fit"]], pdf[~pdf["fit"]]
-        if len(fit) < len(features) + 2 or not len(use):
-            return pd.DataFrame(columns=["fold", "alpha", "date", "ticker", "y", "pred"])
-        x, y = fit[features].to_numpy(), fit["y"].to_numpy()
-        centre, scale = x.mean(0), x.std(0)
-        scale[scale == 0] = 1
-        u, s, vt = np.linalg.svd((x - centre) / scale, full_matrices=False)
-        z = (use[features].to_numpy() - centre) / scale @ vt.T
-        out = [pd.DataFrame({"fold": use["fold"], "alpha": a, "date": use["date"], "ticker": use["ticker"], "y": use["y"], "pred": y.mean() + z @ (s / (s**2 + a) * (u.T @ (y - y.mean())))}) for a in alphas]
-        return pd.concat(out)
-
-    return tasks.groupBy("fold").applyInPandas(run, "fold int, alpha double, date date, ticker string, y double, pred double")
-
-
 def select_alpha(predictions: DataFrame) -> DataFrame:
     """The alpha of least pooled squared error; of equal ones the larger."""
     mse = predictions.groupBy("alpha").agg(F.avg(F.pow(F.col("y") - F.col("pred"), 2)).alias("mse"))

@@ -126,20 +126,6 @@ def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return both, _folds(panel)
 
 
-def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, folds = _design(spark, sf_dir)
-    return stats.ridge_walkforward(rows, folds, ["ret", "vol_20"], "fwd_ret_5")
-
-
-def ridge_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fold's alpha, chosen within its fit window, and the error of it where the fold applies."""
-    rows, folds = _design(spark, sf_dir)
-    run = lambda f: stats.ridge_walkforward(rows, f, ["ret", "vol_20"], "fwd_ret_5")
-    chosen = stats.select_alphas(run(stats.inner_folds(folds))).select("fold", "alpha", F.col("mse").alias("val_mse"))
-    scored = run(folds).groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("pred"), 2)).alias("mse"))
-    return chosen.join(scored, ["fold", "alpha"])
-
-
 def oos_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last return, reversed, as a naive forecast of the next one, against the mean up to 1999."""
     rows = features.log_returns(weekly(spark, sf_dir)).withColumn("y", F.lead("ret").over(Window.partitionBy("ticker").orderBy("date"))).dropna(subset=["ret", "y"])
@@ -211,8 +197,6 @@ k AS (SELECT strategy, avg(pow((net - m) / s, 3)) AS skew, avg(pow((net - m) / s
 SELECT strategy, round(sharpe, 6) AS sharpe, round(benchmark, 6) AS benchmark, round((sharpe - benchmark) * sqrt(t - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS z FROM o JOIN k USING (strategy), b"""),
     "gates": (gates, _P + """, d AS (SELECT strategy AS name, year(date) AS target, net - avg(net) OVER (PARTITION BY date) AS d FROM pa), i AS (SELECT name, target, avg(d) AS m, 1.96 * stddev_samp(d) / sqrt(count(*)) AS h FROM d GROUP BY ALL)
 SELECT name, count(*) FILTER (m - h > 0) AS favourable, count(*) FILTER (m + h < 0 AND NOT coalesce(m - h > 0, false)) AS adverse, count(*) FILTER (m - h > 0) >= 1 AND count(*) FILTER (m + h < 0) = 0 AS passed FROM i GROUP BY name"""),
-    "ridge_walkforward": (ridge, None),
-    "ridge_alpha_selection": (ridge_alpha, None),
     "oos_r2": (oos_r2, _NEXT + """, b AS (SELECT ticker, avg(y) AS base FROM ok WHERE date <= DATE '1999-12-31' GROUP BY ticker)
 SELECT ticker, round(1 - sum(pow(y + ret / 2, 2)) / nullif(sum(pow(y - base, 2)), 0), 6) AS r2 FROM ok JOIN b USING (ticker) WHERE date > DATE '1999-12-31' GROUP BY ticker"""),
     "logistic_auc": (auc, _NEXT + """, s AS (SELECT ticker, round(ret, 2) AS s, y < 0 AS l FROM ok)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.operators import calendar as cal
-from chronopanel.operators import features, regime, stats
+from chronopanel.operators import features, markov, regime, stats
 from chronopanel.plans.feature_queries import RET, rounded
 from chronopanel.sources.panels import WEEKLY, table, weekly
 
@@ -49,8 +49,15 @@ def dwell_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regime.dwell(_states(spark, sf_dir)).groupBy("ticker", "state").agg(F.count(F.lit(1)).alias("runs"), q.alias("q")).select("ticker", "state", "runs", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed model's posteriors of every ticker's returns, in blocks of a year."""
+    rows = _returns(spark, sf_dir)
+    given = {"k": F.lit(2), "start": F.lit(START), "move": F.lit([x for r in MOVES for x in r]), "mean": F.lit(MEANS), "std": F.lit(STDS)}
+    return markov.posteriors(rows, rows.select("ticker").distinct().withColumns(given), ["ticker"], "ret")
+
+
 def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regime.filtered_posteriors(_returns(spark, sf_dir), "ret", START, MOVES, MEANS, STDS)
+    return scanned(spark, sf_dir).select("date", "ticker", *[F.col("filtered")[j].alias(f"p_{j}") for j in range(2)], "loglik")
 
 
 def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

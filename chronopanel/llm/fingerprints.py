@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import stored
 
 MOD = (1 << 31) - 1
 #: Bases of the two hashes; any numbers between 2^21 (beyond all code points) and MOD would do.
@@ -146,21 +146,21 @@ def sketch(c: np.ndarray, h: np.ndarray | None = None, span: int = SPAN, k: int
     return kept
 
 
-def encoded(length: int, whole: int, values: np.ndarray) -> str:
-    """length and hash of the whole in 8 and 16 hexadecimal digits, then the values in 8 each."""
-    return f"{length:08x}{whole:016x}" + values.astype(">u4").tobytes().hex()
+def packed(p: Prefixed) -> bytes:
+    """A fingerprint: length and hash of the whole in 4 and 8 bytes, then the values in 4 each, least first."""
+    return len(p).to_bytes(4) + p.whole().to_bytes(8) + sketch(p.c, p.h[0]).astype(">u4").tobytes()
 
 
 def fingerprint(text: str) -> str:
-    p = Prefixed(text)
-    return encoded(len(p), p.whole(), sketch(p.c, p.h[0]))
+    """In hexadecimal digits."""
+    return packed(Prefixed(text)).hex()
 
 
-def likeness(one: str, two: str, k: int = SKETCH) -> float:
-    """From 0 to 1; 1 if the texts are equal, 0 if one of them is empty."""
-    if one[:24] == two[:24]:
+def likeness(one: bytes, two: bytes, k: int = SKETCH) -> float:
+    """Of two packed fingerprints, from 0 to 1; 1 if the texts are equal, 0 if one of them is empty."""
+    if one[:12] == two[:12]:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(f[24:]), ">u4") for f in (one, two))
+    a, b = (np.frombuffer(f[12:], ">u4") for f in (one, two))
     if not len(a) or not len(b):
         return 0.0
     both = np.union1d(a, b)[:k]
@@ -175,21 +175,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-_ROW = "fingerprint string, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
+_ROW = "fingerprint binary, edited_sha256 binary, edited_fingerprint binary, near_edited double, near_next double, common_edited long, common_next long"
 
 
-def compare(text: str, mine: tuple[Prefixed, str], following: str, its: tuple[Prefixed, str]) -> tuple:
+def compare(text: str, mine: tuple[Prefixed, bytes], following: str, its: tuple[Prefixed, bytes]) -> tuple:
     """What _ROW names: fingerprints, likenesses, and the longest common extensions from the texts' starts."""
     new = edited(text, following)
     p, f = mine
     q = Prefixed(new)
-    g = encoded(len(q), q.whole(), sketch(q.c, q.h[0]))
-    return f, hashlib.sha256(new.encode()).hexdigest(), g, likeness(f, g), likeness(f, its[1]), p.extension(q), p.extension(its[0])
+    g = packed(q)
+    return f, hashlib.sha256(new.encode()).digest(), g, likeness(f, g), likeness(f, its[1]), p.extension(q), p.extension(its[0])
 
 
-def _made(text: str) -> tuple[Prefixed, str]:
+def _made(text: str) -> tuple[Prefixed, bytes]:
     p = Prefixed(text)
-    return p, encoded(len(p), p.whole(), sketch(p.c, p.h[0]))
+    return p, packed(p)
 
 
 def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,10 +245,11 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 t, u = r["text"][0].as_py(), r["following"][0].as_py()
                 yield _batch([(r["id"][0].as_py(), len(t), *compare(t, _made(t), u, _made(u)))], r["id"].type, names[:9])
 
-    return done.where("place is null").select(*names[:9]).unionByName(pairs.mapInArrow(close, f"id {kind}, n_chars long, {_ROW}"))
+    every = done.where("place is null").select(*names[:9]).unionByName(pairs.mapInArrow(close, f"id {kind}, n_chars long, {_ROW}"))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_sha256", "edited_fingerprint")})
 
 
 def _batch(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
-    types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+    types = [kind, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)

@@ -171,7 +171,8 @@ def _close(cells: np.ndarray, start: np.ndarray, fp: np.ndarray, distance: int,
 
 
 def _by_runs(columns: list[str], work, most: int = 50_000):  # noqa: ANN001, ANN202
-    """A function of batches of long columns that are sorted by the first: work gets whole runs of equal values of it."""
+    """A function of batches of long columns that are sorted by the first: work gets whole runs of equal values of it and
+    gives batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -182,9 +183,9 @@ def _by_runs(columns: list[str], work, most: int = 50_000):  # noqa: ANN001, ANN
                 whole = np.searchsorted(rows[0], rows[0, -1])  # the last run may go on
                 held = [rows[:, whole:]]
                 if whole:
-                    yield work(*rows[:, :whole])
+                    yield from work(*rows[:, :whole])
         if held:
-            yield work(*np.concatenate(held, axis=1))
+            yield from work(*np.concatenate(held, axis=1))
 
     return run
 
@@ -207,10 +208,10 @@ def crowd_links(crowd: DataFrame, distance: int) -> DataFrame:
                 some = fps[at : at + step]
                 yield pa.RecordBatch.from_arrays([pa.array((some[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.tile(far, len(some))), pa.array(np.repeat(some, len(masks)).view(np.int64))], ["mid", "far", "fp"])
 
-    def meet(mid: np.ndarray, far: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def meet(mid: np.ndarray, far: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         head = np.searchsorted(mid, mid)  # the first of the run is the nearest to its point
         ok = (far[head] == 0) & (fp != fp[head])
-        return _contracted(fp[ok], fp[head[ok]])
+        yield _contracted(fp[ok], fp[head[ok]])
 
     mids = crowd.mapInArrow(send, "mid long, far byte, fp long").repartition("mid").sortWithinPartitions("mid", "far", "fp")
     return mids.mapInArrow(_by_runs(["mid", "far", "fp"], meet), "u long, v long")
@@ -228,9 +229,9 @@ def links(points: DataFrame, distance: int, segments: int, sets: list[tuple[int,
             more = crowd_links(stored(keys.join(big.hint("merge"), "key", "left_semi").select("fp").distinct(), "crowd"), distance)
         keys = keys.join(big.hint("merge"), "key", "left_anti")
 
-    def compare(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def compare(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = _close(key, start, fp.view(np.uint64), distance, segments)
-        return _contracted(fp[a], fp[b])
+        yield _contracted(fp[a], fp[b])
 
     found = keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_by_runs(["key", "start", "fp"], compare), "u long, v long")
     return (found if more is None else found.unionByName(more)).distinct()
@@ -255,14 +256,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+#: Bytes of a shingle's hash that sets keep: of 10^12 different shingles one in 280 shares its key with another by chance.
+BYTES = 6
+
+
 def packed(h: np.ndarray) -> bytes:
-    """The set of the upper 40 bits of hashes, sorted, 5 bytes each."""
-    return np.ascontiguousarray(np.unique(h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The set of the upper BYTES of hashes, sorted."""
+    return np.ascontiguousarray(np.unique(h >> np.uint64(64 - 8 * BYTES)).view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(raw) // BYTES, 8), np.uint8)
+    wide[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
     return wide.view(np.int64).ravel()
 
 
@@ -333,8 +338,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, least: float, star: bool) -> np.ndarray:
-    """(a, b, first, need): pairs of rows of one cell, of different parts, that sizes and places in the order allow; with
+def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, least: float, star: bool, most: int = 500_000) -> Iterator[np.ndarray]:
+    """(a, b, first, need), some of the pairs at a time, about `most` compared and at most that many found: pairs of rows of one cell, of different parts, that sizes and places in the order allow; with
     star only those with the cell's first row. first says whether the key can be the first that the two sets share, need
     how many keys of their prefixes two sets of the similarity share at least: beyond the prefix that ends first in the
     order, that set has ceil(t * n) - 1 shingles."""
@@ -349,12 +354,18 @@ def _apart(cells: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarra
         return np.stack([a, b, after >= common, need])[:, ok]
 
     if star:
-        return allowed(np.searchsorted(cells, cells), np.arange(len(cells)))
-    at, step, found = np.arange(len(cells) - 1), 1, [np.zeros((4, 0), np.int64)]
+        yield allowed(np.searchsorted(cells, cells), np.arange(len(cells)))
+        return
+    at, step, found, held = np.arange(len(cells) - 1), 1, [np.zeros((4, 0), np.int64)], 0
     while len(at := at[at + step < len(cells)]) and len(at := at[cells[at] == cells[at + step]]):
         found.append(allowed(at, at + step))
+        held += found[-1].shape[1]
+        if held >= most:
+            yield np.concatenate(found, axis=1)
+            found, held = [], 0
         step += 1
-    return np.concatenate(found, axis=1)
+    if found:
+        yield np.concatenate(found, axis=1)
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
@@ -403,14 +414,14 @@ def candidates(members: DataFrame, least: float, star: bool) -> DataFrame:
         placed = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         placed = placed.select("sid", "pos", "n", "part", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
 
-    def pairs(cell: np.ndarray, sid: np.ndarray, pos: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        a, b, first, need = _apart(cell, n, pos, part, least, star)
-        u, v = np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])
-        order = np.lexsort((v, u))
-        u, v, first, need = u[order], v[order], first[order], need[order]
-        new = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
-        times, leads = np.diff(np.append(new, len(u))), np.maximum.reduceat(first, new) if len(u) else first
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (u[new], v[new], times, leads, need[new])], ["u", "v", "times", "first", "need"])
+    def pairs(cell: np.ndarray, sid: np.ndarray, pos: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b, first, need in _apart(cell, n, pos, part, least, star):
+            u, v = np.maximum(sid[a], sid[b]), np.minimum(sid[a], sid[b])
+            order = np.lexsort((v, u))
+            u, v, first, need = u[order], v[order], first[order], need[order]
+            new = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
+            times, leads = np.diff(np.append(new, len(u))), np.maximum.reduceat(first, new) if len(u) else first
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u[new], v[new], times, leads, need[new])], ["u", "v", "times", "first", "need"])
 
     cells = placed.repartition("cell").sortWithinPartitions("cell", "sid")
     found = cells.mapInArrow(_by_runs(["cell", "sid", "pos", "n", "part"], pairs), "u long, v long, times long, first long, need long")

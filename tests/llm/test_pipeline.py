@@ -94,7 +94,11 @@ def test_empty(spark, docs):
 
 
 def test_lines_of_numbers_stay(spark):
+    """Rows of numbers are no templates; numbers within words are, in enough documents."""
     texts = {1: "12 34.5 v6\npage 7 of this text\n2024-01-02", 2: "98  76.5 v4\npage 8 of this text\n2024-01-03", 3: "12 34.5  v6\nall else"}
-    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts.items()], COLUMNS)
-    got = {r[0]: r[1] for r in corpus_pipeline.line_templates(spark, docs, "").collect()}
-    assert got == {1: texts[1], 2: "98  76.5 v4\n2024-01-03", 3: "all else"}
+    make = lambda t: spark.createDataFrame([(i, x, "en", "src1", len(x)) for i, x in t.items()], COLUMNS)
+    got = {r[0]: r[1] for r in corpus_pipeline.line_templates(spark, make(texts), "").collect()}
+    assert got == {1: texts[1], 2: texts[2], 3: "all else"}
+    more = texts | {i: f"{i} {i + 1} {i + 2} {i + 3} {i + 4}\npage {i} of this text" for i in range(4, 24)}
+    got = {r[0]: r[1] for r in corpus_pipeline.line_templates(spark, make(more), "").collect()}
+    assert got == {1: texts[1], 2: "98  76.5 v4\n2024-01-03", 3: "all else"} | {i: more[i].split("\n")[0] for i in range(4, 24)}

@@ -134,7 +134,9 @@ def pca_latents(vectors: DataFrame, column: str, id_col: str, k: int) -> DataFra
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = vectors.select(id_col, F.transform(column, lambda x: x.cast("double")).alias("x"))
-    size = rows.select(F.size("x")).first()[0]
+    if (one := rows.select(F.size("x")).first()) is None:  # no vectors, no axes
+        return rows.select(id_col, F.col("x").alias("latent"))
+    size = one[0]
     mean = rows.agg(*[F.avg(F.col("x")[i]) for i in range(size)]).first()
     centred = rows.select(id_col, F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, m: a - m).alias("x")).withColumn("v", array_to_vector("x"))
     model = PCA(k=k, inputCol="v", outputCol="p").fit(centred)

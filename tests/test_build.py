@@ -65,3 +65,8 @@ def test_inner_folds_stay_within_the_fit_window(spark):
 def test_alphas_by_fold(spark):
     rows = spark.createDataFrame([(0, 1.0, 0.0, 1.0), (0, 2.0, 0.0, 1.0), (0, 3.0, 0.0, 2.0), (1, 1.0, 0.0, 2.0), (1, 2.0, 0.0, 0.5)], "fold int, alpha double, y double, pred double")
     assert {(r["fold"], r["alpha"]) for r in stats.select_alphas(rows).collect()} == {(0, 2.0), (1, 2.0)}
+
+
+def test_no_vectors_have_no_axes(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert stats.pca_latents(none, "embedding", "vec_id", 2).count() == 0

@@ -50,29 +50,29 @@ def test_targets_look_ahead(panel):
 
 
 def test_metrics(spark):
-    paths = spark.createDataFrame([("s", d, r) for d, r in zip(days(4), [0.10, -0.20, 0.10, 0.05])], "strategy string, date date, net double")
+    paths = spark.createDataFrame([("s", d, r) for d, r in zip(days(5), [0.25, -0.4, 0.2, 0.5, 0.1])], "strategy string, date date, net double")
     curve = [r.equity for r in pf.equity(paths).orderBy("date").collect()]
-    assert curve == pytest.approx([1.1, 0.88, 0.968, 1.0164])
+    assert curve == pytest.approx([1.25, 0.75, 0.9, 1.35, 1.485])
     row = pf.performance(paths).first()
-    assert row.ann_return == pytest.approx(1.0164 ** (252 / 4) - 1) and row.max_dd == pytest.approx(-0.2) and row.dd_length == 3
+    assert row.ann_return == pytest.approx(1.485 ** (252 / 5) - 1) and row.max_dd == pytest.approx(-0.4) and row.dd_length == 2
 
 
 def test_drift(spark):
-    """Half in A, which doubles on day 2; rebalanced at the end of day 3: turnover one sixth."""
-    w = spark.createDataFrame([("s", d, line, 0.5) for d in (DAY, DAY + dt.timedelta(2)) for line in ("A", "CASH")], "strategy string, decision date, line string, weight double")
-    r = spark.createDataFrame([(d, line, 1.0 if line == "A" and i == 2 else 0.0) for i, d in enumerate(days(6)) for line in ("A", "CASH")], "date date, line string, r double")
+    """A quarter in A, which grows to three times its price on day 2; rebalanced at the end of day 3 from one half."""
+    w = spark.createDataFrame([("s", d, line, x) for d in (DAY, DAY + dt.timedelta(2)) for line, x in (("A", 0.25), ("CASH", 0.75))], "strategy string, decision date, line string, weight double")
+    r = spark.createDataFrame([(d, line, 2.0 if line == "A" and i == 2 else 0.0) for i, d in enumerate(days(6)) for line in ("A", "CASH")], "date date, line string, r double")
     periods = cal.holding_periods(spark.createDataFrame([(d,) for d in days(6)], "date date"), decided=w.select(F.col("decision").alias("date")).distinct())
     got = {x.date: x for x in pf.drift(w, periods, r).collect()}
     assert got[DAY + dt.timedelta(2)].gross == pytest.approx(0.5)
-    assert got[DAY + dt.timedelta(3)].turnover == pytest.approx(1 / 6)
+    assert got[DAY + dt.timedelta(3)].turnover == pytest.approx(1 / 4)
     assert got[DAY + dt.timedelta(1)].turnover == pytest.approx(0.5)  # from nothing, half the distance
 
 
 def test_dwell(spark):
-    s = spark.createDataFrame([("t", d, x) for d, x in zip(days(8), [0, 0, 0, 1, 1, 1, 0, 0])], "ticker string, date date, state int")
-    assert sorted((r.state, r.length) for r in regime.dwell(s).collect()) == [(0, 2), (0, 3), (1, 3)]
+    s = spark.createDataFrame([("t", d, x) for d, x in zip(days(9), [1, 1, 0, 0, 0, 0, 1, 2, 2])], "ticker string, date date, state int")
+    assert sorted((r.state, r.length) for r in regime.dwell(s).collect()) == [(0, 4), (1, 1), (1, 2), (2, 2)]
     moved = {(r.a, r.b): r.n for r in regime.transitions(s).collect()}
-    assert moved == {(0, 0): 3, (0, 1): 1, (1, 1): 2, (1, 0): 1}
+    assert moved == {(1, 1): 1, (1, 0): 1, (0, 0): 3, (0, 1): 1, (1, 2): 1, (2, 2): 1}
 
 
 def test_fill_is_capped(spark):

@@ -94,6 +94,17 @@ def detection(episodes: DataFrame, signal: DataFrame, sessions: DataFrame, thres
     return hit.groupBy("ticker", "start", "end", "start_ord").agg(F.min("ord").alias("first")).select("ticker", "start", "end", (F.col("first") - F.col("start_ord")).alias("lag"))
 
 
+def compare_detection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a and b (ticker, start, end, lag) as of detection(), of the same episodes -> (ticker, episodes, missed_a, missed_b,
+    lag_a, lag_b, a_wins): mean lags over what each found; a wins if it misses none and b misses some or is later on
+    average."""
+    of = lambda d, n: d.select("ticker", "start", "end", F.col("lag").alias(n))
+    both = of(a, "__a").join(of(b, "__b"), ["ticker", "start", "end"])
+    miss = lambda c: F.count_if(F.col(c).isNull())
+    out = both.groupBy("ticker").agg(F.count(F.lit(1)).alias("episodes"), miss("__a").alias("missed_a"), miss("__b").alias("missed_b"), F.avg("__a").alias("lag_a"), F.avg("__b").alias("lag_b"))
+    return out.withColumn("a_wins", (F.col("missed_a") == 0) & ((F.col("missed_b") > 0) | F.coalesce(F.col("lag_a") < F.col("lag_b"), F.lit(False))))
+
+
 def false_alarms(episodes: DataFrame, signal: DataFrame, threshold: float) -> DataFrame:
     """(ticker, rate): share of the sessions outside of all episodes whose p is above the threshold."""
     outside = signal.alias("s").join(episodes.alias("e"), F.expr("s.ticker = e.ticker and s.date between e.start and e.end"), "left_anti")

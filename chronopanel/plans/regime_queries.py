@@ -99,6 +99,14 @@ def episode_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regime.detection(regime.bear_episodes(panel), _signal(spark, sf_dir), cal.numbered(cal.observed(panel)), 0.6, 20)
 
 
+def detection_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alarm signal at two thresholds."""
+    panel = weekly(spark, sf_dir)
+    episodes, sessions = regime.bear_episodes(panel), cal.numbered(cal.observed(panel))
+    found = [regime.detection(episodes, _signal(spark, sf_dir), sessions, t, 20) for t in (0.45, 0.6)]
+    return rounded(regime.compare_detection(*found), "lag_a", "lag_b", keys=("ticker", "episodes", "missed_a", "missed_b", "a_wins"))
+
+
 def false_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regime.false_alarms(regime.bear_episodes(weekly(spark, sf_dir)), _signal(spark, sf_dir), 0.6), "rate", keys=("ticker",))
 
@@ -203,6 +211,11 @@ SELECT de.ticker, de.peak, round(sum(ret) FILTER (rt.date <= trough), 6) AS decl
     "episode_detection": (episode_detection, _SIGNAL + """, s AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS ord FROM (SELECT DISTINCT date FROM panel)),
 e AS (SELECT be.*, a.ord AS ao, b.ord AS bo FROM be JOIN s a ON a.date = be.start JOIN s b ON b.date = be."end"), h AS (SELECT ticker, ord FROM si JOIN s USING (date) WHERE p > 0.6)
 SELECT e.ticker, e.start, e."end", min(h.ord) - e.ao AS lag FROM e LEFT JOIN h ON h.ticker = e.ticker AND h.ord BETWEEN ao - 20 AND bo GROUP BY e.ticker, e.start, e."end", e.ao"""),
+    "detection_comparison": (detection_comparison, _SIGNAL + """, s AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ord FROM (SELECT DISTINCT date FROM panel)),
+e AS (SELECT be.*, a.ord AS ao, b.ord AS bo FROM be JOIN s a ON a.date = be.start JOIN s b ON b.date = be."end"), h AS (SELECT ticker, ord, p FROM si JOIN s USING (date)),
+l AS (SELECT e.ticker, e.start, min(h.ord) FILTER (p > 0.45) - e.ao AS la, min(h.ord) FILTER (p > 0.6) - e.ao AS lb FROM e LEFT JOIN h ON h.ticker = e.ticker AND h.ord BETWEEN ao - 20 AND bo GROUP BY e.ticker, e.start, e."end", e.ao),
+t AS (SELECT ticker, count(*) AS episodes, count(*) - count(la) AS missed_a, count(*) - count(lb) AS missed_b, avg(la) AS lag_a, avg(lb) AS lag_b FROM l GROUP BY ticker)
+SELECT ticker, episodes, missed_a, missed_b, missed_a = 0 AND (missed_b > 0 OR coalesce(lag_a < lag_b, false)) AS a_wins, round(lag_a, 6) AS lag_a, round(lag_b, 6) AS lag_b FROM t"""),
     "false_alarm": (false_alarm, _SIGNAL + ' SELECT ticker, round(avg(CASE WHEN p > 0.6 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM si WHERE NOT EXISTS (SELECT 1 FROM be WHERE be.ticker = si.ticker AND si.date BETWEEN be.start AND be."end") GROUP BY ticker'),
     "hmm_em_fit": (hmm_em_fit, None),
     "hmm_selected": (hmm_selected, None),

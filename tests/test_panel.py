@@ -75,6 +75,14 @@ def test_dwell(spark):
     assert moved == {(1, 1): 1, (1, 0): 1, (0, 0): 3, (0, 1): 1, (1, 2): 1, (2, 2): 1}
 
 
+def test_detection_in_pairs(spark):
+    """A miss loses, whatever the lags of what was found."""
+    make = lambda lags: spark.createDataFrame([(t, DAY + dt.timedelta(i), DAY + dt.timedelta(i + 1), x) for t, xs in lags.items() for i, x in enumerate(xs)], "ticker string, start date, end date, lag int")
+    a, b = make({"x": [1, 3], "y": [1, None], "z": [2, 2], "w": [5, 5]}), make({"x": [2, 3], "y": [9, 9], "z": [2, 2], "w": [0, None]})
+    got = {r.ticker: (r.missed_a, r.missed_b, r.lag_a, r.a_wins) for r in regime.compare_detection(a, b).collect()}
+    assert got == {"x": (0, 0, 2.0, True), "y": (1, 0, 1.0, False), "z": (0, 0, 2.0, False), "w": (0, 1, 5.0, True)}
+
+
 def test_fill_is_capped(spark):
     p = spark.createDataFrame([("t", d, x, 1.0) for d, x in zip(days(8), [None, 1.0, None, None, None, None, 2.0, None])], "ticker string, date date, close double, volume double")
     got = [r.close for r in clean.fill(p).orderBy("date").collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.windows import by, change
-from chronopanel.operators import features
+from chronopanel.operators import clean, features
 
 #: Families by a part of a column's name, the first that fits.
 FAMILIES = {"vol": "volatility", "down": "volatility", "mom": "momentum", "ret": "return", "corr": "cross", "dispersion": "cross", "breadth": "cross", "beta": "beta", "skew": "shape", "kurt": "shape", "dist": "trend"}
@@ -37,6 +37,35 @@ def drop_empty(wide: DataFrame, keys: tuple[str, ...] = ("date",)) -> DataFrame:
     return wide.select(*keys, *[c for c in columns if counts[c]])
 
 
+def warm_start(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """(date): the first date on which each of the columns is a finite number, NULL if there is none."""
+    finite = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns], F.lit(True))
+    return wide.where(finite).agg(F.min("date").alias("date"))
+
+
+def trimmed(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows from the warm start on; later gaps stay, and a frame that is never whole keeps no row."""
+    return wide.where(F.col("date") >= warm_start(wide, columns).scalar())
+
+
+def complete(panel: DataFrame, universe: list[str], sessions: DataFrame, macro: DataFrame | None = None, limit: int = 3, drop: bool = True) -> DataFrame:
+    """The whole build: the universe's rows aligned to the sessions and filled over at most `limit` of them, its assembled
+    frame with the macro block (date, ...), columns without any value dropped if `drop`, and the warm-up cut off."""
+    mine = panel.where(F.col("ticker").isin(universe))
+    cleaned = clean.fill(clean.align(mine, sessions), limit=limit).select("date", "ticker", "close", "volume")
+    wide = assembled(cleaned, universe, [macro] if macro is not None else None)
+    wide = drop_empty(wide) if drop else wide
+    return trimmed(wide, [c for c in wide.columns if c != "date"])
+
+
+def isolation_faults(wide: DataFrame, universe: list[str], others: list[str], keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """(name, n, fault) of columns that must not be in a universe's frame: of a ticker outside of it, or of the future
+    (fwd_); n is how many values they hold."""
+    wrong = {c: "future" if c.startswith("fwd_") or "_fwd_" in c else "other ticker" for c in wide.columns if c not in keys and ("fwd_" in c or any(c.startswith(f"{t}_") for t in others if t not in universe))}
+    counts = wide.agg(F.array(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.lit(w).alias("fault")) for c, w in wrong.items()]).cast("array<struct<name:string,n:bigint,fault:string>>").alias("all"))
+    return counts.select(F.inline("all"))
+
+
 def family(name: Column) -> Column:
     """A column's family by FAMILIES, else other."""
     return F.coalesce(*[F.when(F.contains(name, F.lit(part)), kind) for part, kind in FAMILIES.items()], F.lit("other"))

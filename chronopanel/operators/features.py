@@ -95,11 +95,13 @@ def pairs(panel: DataFrame) -> DataFrame:
 
 def pairwise_correlation(panel: DataFrame, n: int) -> DataFrame:
     """(date, avg_corr, std_corr): mean and deviation of the correlations of all pairs over n rows; NULL unless every
-    pair has its n rows; the deviation of a single pair is 0."""
+    pair has its n rows, in which neither stands still; the deviation of a single pair is 0."""
     w = trailing(n, ("a", "b"))
     ok = F.col("ra").isNotNull() & F.col("rb").isNotNull()
     x, y = F.when(ok, F.col("ra")), F.when(ok, F.col("rb"))
-    c = F.when(F.count(x).over(w) == n, F.corr(x, y).over(w))
+    # F.corr is an error, not NULL, for a series that stands still, as filled prices may.
+    rho = F.try_divide(F.covar_pop(x, y).over(w), F.sqrt(F.var_pop(x).over(w) * F.var_pop(y).over(w)))
+    c = F.when(F.count(x).over(w) == n, rho)
     daily = pairs(panel).select("date", "a", "b", c.alias("c")).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("m"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("std"))
     whole = F.col("n") == F.col("m")
     return daily.select("date", F.when(whole, F.col("mean")).alias("avg_corr"), F.when(whole, F.when(F.col("n") == 1, 0.0).otherwise(F.col("std"))).alias("std_corr"))

@@ -39,13 +39,19 @@ def over_weekly(make, *columns: str, keys: tuple[str, ...] = ("date", "ticker"))
     return query
 
 
-def macro_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+MACRO = ["vix_level", "vix_change", "slope_long_short", "slope_long_mid", "curve_change", "credit", "credit_change", "credit_change_20", "dollar_return_20", "oil_vol_20"]
+
+
+def macro_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments stand for macro series: levels of a volatility index, yields, credit, the dollar and oil."""
     names = dict(zip(TICKERS, ["vix", "long_yield", "mid_yield", "short_yield", "oil"], strict=True))
     levels = weekly(spark, sf_dir).groupBy("date").pivot("ticker", TICKERS).agg(F.first("close"))
     levels = levels.select("date", *[F.col(k).alias(v) for k, v in names.items()]).withColumns({"high_yield": F.col("mid_yield"), "investment": F.col("long_yield"), "dollar": F.col("short_yield")})
-    columns = ["vix_level", "vix_change", "slope_long_short", "slope_long_mid", "curve_change", "credit", "credit_change", "credit_change_20", "dollar_return_20", "oil_vol_20"]
-    return rounded(f.macro(levels), *columns, keys=("date",))
+    return f.macro(levels).select("date", *MACRO)
+
+
+def macro_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(macro_block(spark, sf_dir), *MACRO, keys=("date",))
 
 
 _MACRO = f"""WITH panel AS ({WEEKLY}),

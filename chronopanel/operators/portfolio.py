@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,83 +122,5 @@ def capped_simplex(x: Column, caps: Column, steps: int = 100) -> Column:
     return F.zip_with(x, caps, lambda a, c: F.least(F.greatest(a - shift, F.lit(0.0)), c))
 
 
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Covariance shrunk towards a multiple of the identity, rows are observations."""
-    x = x - x.mean(0)
-    n, p = x.shape
-    s = x.T @ x / n
-    m = np.trace(s) / p
-    d2 = ((s - m * np.eye(p)) ** 2).sum() / p
-    b2 = (((x**2).T @ (x**2)).sum() / n - (s**2).sum()) / (n * p)
-    rho = 0.0 if d2 == 0 else min(b2, d2) / d2
-    return (1 - rho) * s + rho * m * np.eye(p)
-
-
-def windows_of(panel: DataFrame, tickers: list[str], n: int = 60) -> DataFrame:
-    """(date, x): the last n rows of all tickers' returns, flattened, where all are there."""
-    from chronopanel.operators.features import log_returns, wide
-
-    w = wide(log_returns(panel), tickers, ["ret"]).withColumn("row", F.array(*[f"{t}_ret" for t in tickers])).where(F.expr("forall(row, v -> v is not null)")).withColumn("one", F.lit(1))
-    return w.select("date", F.collect_list("row").over(trailing(n, ("one",))).alias("x")).where(F.size("x") == n)
-
-
-def shrunk_covariance(windows: DataFrame, tickers: list[str]) -> DataFrame:
-    """(date, a, b, cov) of each window, a <= b."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for date, x in zip(pdf["date"], pdf["x"], strict=True):
-                c = ledoit_wolf(np.array([list(r) for r in x]))
-                out += [(date, tickers[i], tickers[j], c[i, j]) for i in range(len(tickers)) for j in range(i, len(tickers))]
-            yield pd.DataFrame(out, columns=["date", "a", "b", "cov"])
-
-    return windows.mapInPandas(run, "date date, a string, b string, cov double")
-
-
-def first_eigenvalue_share(windows: DataFrame) -> DataFrame:
-    """(date, share): largest eigenvalue of the correlations over their number."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            yield pd.DataFrame({"date": pdf["date"], "share": [float(np.linalg.eigvalsh(np.corrcoef(np.array([list(r) for r in x]).T))[-1] / len(x[0])) for x in pdf["x"]]})
-
-    return windows.mapInPandas(run, "date date, share double")
-
-
-def _project(w: np.ndarray, cap: float) -> np.ndarray:
-    lo, hi = w.min() - 1, w.max()
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.clip(w - mid, 0, cap).sum() > 1 else (lo, mid)
-    return np.clip(w - hi, 0, cap)
-
-
-def optimal_weights(windows: DataFrame, tickers: list[str], gamma: float = 5.0, cap: float = 0.35) -> DataFrame:
-    """(date, line, mv_weight, min_var_weight): mean-variance with full investment at most, and least variance fully
-    invested, both with weights in 0 to cap, by projected gradients."""
-
-    def solve(mu: np.ndarray, cov: np.ndarray, whole: bool) -> np.ndarray:
-        w = np.full(len(mu), min(cap, 1 / len(mu)))
-        rate = 1 / max(1e-12, gamma * np.linalg.eigvalsh(cov)[-1])
-        for _ in range(500):
-            w = w + rate * (mu - gamma * cov @ w)
-            inside = np.clip(w, 0, cap)
-            w = inside if not whole and inside.sum() <= 1 else _project(w, cap)
-        return w
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for date, x in zip(pdf["date"], pdf["x"], strict=True):
-                a = np.array([list(r) for r in x])
-                cov = ledoit_wolf(a) * 252
-                mv, least = solve(a.mean(0) * 252 / 2, cov, False), solve(np.zeros(len(tickers)), cov, True)
-                out += [(date, t, float(u), float(v)) for t, u, v in zip(tickers, mv, least, strict=True)]
-            yield pd.DataFrame(out, columns=["date", "line", "mv_weight", "min_var_weight"])
-
-    return windows.mapInPandas(run, "date date, line string, mv_weight double, min_var_weight double")
-
-
 def trailing_vol(prices: DataFrame, n: int = 20) -> DataFrame:
     return simple_returns(prices).withColumn("vol", full(F.stddev_samp, "r", trailing(n, ("line",)), n) * math.sqrt(252))

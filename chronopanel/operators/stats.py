@@ -1,4 +1,4 @@
-"""Resampling, gates, deflated Sharpe ratios, probes, encoders."""
+"""Gates, deflated Sharpe ratios, probes, encoders."""
 
 from __future__ import annotations
 
@@ -13,31 +13,6 @@ from pyspark.sql import functions as F
 from chronopanel.functions.windows import by, full, kurt_of, skew_of, trailing
 
 
-def bootstrap_indices(n: int, block: int, replicates: int, seed: int) -> np.ndarray:
-    """Stationary bootstrap: blocks start anywhere, have geometric lengths with mean block, and wrap around."""
-    rng = np.random.default_rng(seed)
-    fresh = rng.random((replicates, n)) < 1 / block
-    fresh[:, 0] = True
-    start = rng.integers(0, n, (replicates, n))
-    last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0), axis=1)
-    return (np.take_along_axis(start, last, 1) + np.arange(n) - last) % n
-
-
-def bootstrap_ci(paths: DataFrame, replicates: int = 200, block: int = 20, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """(strategy, mean, low, high, sharpe, sharpe_low, sharpe_high) of paths (strategy, date, net). A series is one task,
-    as one resampled series needs all of it; strategies run side by side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")["net"].to_numpy()
-        r = x[bootstrap_indices(len(x), block, replicates, seed)]
-        sharpe = lambda a: a.mean(-1) / a.std(-1, ddof=1) * math.sqrt(252)
-        q = [(1 - level) / 2, (1 + level) / 2]
-        (lo, hi), (slo, shi) = np.quantile(r.mean(1), q), np.quantile(sharpe(r), q)
-        return pd.DataFrame([{"strategy": pdf["strategy"].iloc[0], "mean": x.mean(), "low": lo, "high": hi, "sharpe": sharpe(x), "sharpe_low": slo, "sharpe_high": shi}])
-
-    return paths.groupBy("strategy").applyInPandas(run, "strategy string, mean double, low double, high double, sharpe double, sharpe_low double, sharpe_high double")
-
-
 def expected_max_z(trials: int) -> float:
     """Expected maximum of that many standard normal values, by the usual approximation."""
     z, euler = NormalDist().inv_cdf, 0.5772156649015329

@@ -77,6 +77,15 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(replicates.intervals(values, ["strategy"]), "point", "low", "high", keys=("strategy", "name", "n"))
 
 
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and Sharpe ratio of each path with their intervals, a row a path."""
+    named = {"mean": F.avg("net"), "sharpe": F.try_divide(F.avg("net") * 252**0.5, F.stddev_samp("net"))}
+    table = replicates.intervals(replicates.statistics(pq._paths(spark, sf_dir), ["strategy"], named, COUNT, BLOCK, SEED), ["strategy"])
+    of = lambda name, column: F.round(F.max(F.when(F.col("name") == name, F.col(column))), 6)
+    each = {"mean": ("mean", "point"), "low": ("mean", "low"), "high": ("mean", "high"), "sharpe": ("sharpe", "point"), "sharpe_low": ("sharpe", "low"), "sharpe_high": ("sharpe", "high")}
+    return table.groupBy("strategy").agg(*[of(*v).alias(k) for k, v in each.items()])
+
+
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = replicates.path_statistics(pq._paths(spark, sf_dir), COUNT, BLOCK, SEED)
     return rounded(replicates.paired(values, "strategy", "BUILDING"), "point", "low", "high", keys=("strategy", "name", "n", "verdict"))
@@ -204,6 +213,10 @@ SELECT fold, alpha, n, round(ch.mse, 6) AS val_mse, round(sc.mse, 6) AS mse FROM
     "ridge_probe": (ridge_probe, None),
     "logistic_probe": (logistic_probe, None),
     "bootstrap_intervals": (bootstrap_intervals, _VALUES + f", iv AS (SELECT strategy, name, {_INTERVALS} FROM va GROUP BY ALL) SELECT strategy, name, round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high, n FROM iv"),
+    "block_bootstrap_ci": (block_bootstrap, pq._P + _resampled("pa") + """, rw AS (SELECT strategy, rep, net FROM pa JOIN rp USING (date) UNION ALL SELECT strategy, -1, net FROM pa),
+me AS (SELECT strategy, rep, avg(net) AS m, avg(net) * sqrt(252) / nullif(stddev_samp(net), 0) AS s FROM rw GROUP BY ALL)
+SELECT strategy, round(max(m) FILTER (rep = -1), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (rep >= 0), 6) AS high,
+  round(max(s) FILTER (rep = -1), 6) AS sharpe, round(quantile_cont(s, 0.025) FILTER (rep >= 0), 6) AS sharpe_low, round(quantile_cont(s, 0.975) FILTER (rep >= 0), 6) AS sharpe_high FROM me GROUP BY strategy"""),
     "bootstrap_paired": (bootstrap_paired, _VALUES + f""", df AS (SELECT a.strategy, a.rep, a.name, a.value - b.value AS value FROM va a JOIN va b ON b.strategy = 'BUILDING' AND a.rep = b.rep AND a.name = b.name AND a.strategy <> 'BUILDING'),
 iv AS (SELECT strategy, name, {_INTERVALS} FROM df GROUP BY ALL) SELECT strategy, name, round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high, n, CASE WHEN low > 0 THEN 'favourable' WHEN high < 0 THEN 'adverse' ELSE 'inconclusive' END AS verdict FROM iv"""),
     "forecast_intervals": (forecast_intervals, _FORECAST),

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronopanel.functions.windows import full, trailing
 from chronopanel.operators import calendar as cal
-from chronopanel.operators import features, stats
+from chronopanel.operators import covariance, features, stats
 from chronopanel.operators import portfolio as pf
 from chronopanel.plans.feature_queries import RET, TICKERS, rounded
 from chronopanel.plans.regime_queries import _folds
 from chronopanel.sources.panels import WEEKLY, weekly
 
+#: The largest weight of a line where weights are capped.
+CAP = 0.35
+
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly(spark, sf_dir).select("date", F.col("ticker").alias("line"), "close")
@@ -83,28 +87,25 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [0.2, 0.5, 0.9], [1.0, 1.0, 1.0]), (2, [0.9, 0.1, 0.0, 0.0], [0.35] * 4), (3, [0.25] * 4, [1.0] * 4)], "id int, x array<double>, caps array<double>")
-    return rows.select("id", F.transform(pf.capped_simplex(F.col("x"), F.col("caps")), lambda v: F.round(v, 6)).alias("w"))
+    """Each line's mean return of twenty weeks as a raw weight, brought to the nearest weights of at most CAP."""
+    scores = pf.simple_returns(_prices(spark, sf_dir)).withColumn("score", full(F.avg, "r", trailing(20, ("line",)), 20))
+    return rounded(covariance.simplex_rows(scores, F.lit(CAP), ["date"]), "weight", keys=("date", "line"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.windows_of(weekly(spark, sf_dir), TICKERS)
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covariance.pair_moments(features.log_returns(weekly(spark, sf_dir)), TICKERS)
 
 
 def shrunk_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.shrunk_covariance(_windows(spark, sf_dir), TICKERS)
+    return rounded(covariance.shrunk(_moments(spark, sf_dir), TICKERS), "cov", "intensity", keys=("date", "a", "b"))
 
 
 def eigenvalue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.first_eigenvalue_share(_windows(spark, sf_dir))
+    return rounded(covariance.first_eigenvalue_share(_moments(spark, sf_dir)), "share", keys=("date",))
 
 
 def optimal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.optimal_weights(_windows(spark, sf_dir), TICKERS)
-
-
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_ci(_paths(spark, sf_dir))
+    return rounded(covariance.optimal_weights(_moments(spark, sf_dir), TICKERS), "mv_weight", "min_var_weight", keys=("date", "line"))
 
 
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +171,27 @@ mo AS (SELECT coalesce(sg.strategy, en.strategy) AS strategy, coalesce(sg.start,
 dr AS (SELECT strategy, date, coalesce(gross, 0) AS gross, coalesce(turnover, 0) AS turnover FROM gr FULL JOIN (SELECT * FROM mo WHERE k > 0) m USING (strategy, date))"""
 _NEXT = RET + ", nx AS (SELECT *, lead(ret) OVER (PARTITION BY ticker ORDER BY date) AS y FROM r), ok AS (SELECT * FROM nx WHERE ret IS NOT NULL AND y IS NOT NULL)"
 
+#: The shift is linear between the points at which a weight leaves 0 or reaches its cap.
+_SIMPLEX = _P + f""", sc AS (SELECT * FROM (SELECT date, line, CASE WHEN count(r) OVER w = 20 THEN avg(r) OVER w END AS x FROM pr WINDOW w AS (PARTITION BY line ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE x IS NOT NULL),
+bp AS (SELECT DISTINCT date, t FROM (SELECT date, x AS t FROM sc UNION ALL SELECT date, x - {CAP} FROM sc)),
+ft AS (SELECT bp.date, t, sum(least(greatest(x - t, 0), {CAP})) AS f FROM bp JOIN sc USING (date) GROUP BY bp.date, t HAVING count(*) * {CAP} >= 1),
+nx AS (SELECT *, lead(t) OVER w AS t1, lead(f) OVER w AS f1 FROM ft WINDOW w AS (PARTITION BY date ORDER BY t)),
+sh AS (SELECT date, max(CASE WHEN f1 IS NULL OR f = f1 THEN t ELSE t + (f - 1) / (f - f1) * (t1 - t) END) AS t FROM nx WHERE f >= 1 AND coalesce(f1, 0) < 1 GROUP BY date)
+SELECT date, line, round(least(greatest(x - t, 0), CAST({CAP} AS DOUBLE)), 6) AS weight FROM sc JOIN sh USING (date)"""
+_PAIRS = RET + f""", hl AS (SELECT date, ticker, ret FROM r WHERE ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY date) = {len(TICKERS)}),
+pq AS (SELECT u.date, u.ticker AS a, v.ticker AS b, u.ret AS x, v.ret AS y FROM hl u JOIN hl v ON u.date = v.date AND u.ticker <= v.ticker),
+wl AS (SELECT date, a, b, list(x) OVER w AS xs, list(y) OVER w AS ys FROM pq WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+dv AS (SELECT date, a, b, list_transform(list_zip(xs, ys), lambda z: (z[1] - list_avg(xs)) * (z[2] - list_avg(ys))) AS d FROM wl WHERE len(xs) = 60),
+pm AS (SELECT date, a, b, list_avg(d) AS cov, list_avg(list_transform(d, lambda z: z * z)) AS q FROM dv)"""
+_SHRUNK = _PAIRS + f""", dt AS (SELECT date, sum(cov) FILTER (a = b) / {len(TICKERS)} AS m, sum(cov * cov * CASE WHEN a = b THEN 1 ELSE 2 END) AS s, sum(q * CASE WHEN a = b THEN 1 ELSE 2 END) AS q FROM pm GROUP BY date),
+sk AS (SELECT date, a, b, cov, m, least((dt.q - s) / (60 * {len(TICKERS)}), (s - {len(TICKERS)} * m * m) / {len(TICKERS)}) / ((s - {len(TICKERS)} * m * m) / {len(TICKERS)}) AS rho FROM pm JOIN dt USING (date))"""
+#: The matrix squared 24 times, its trace brought back to 1 each time, leaves the first axis alone.
+_EIGEN = _PAIRS + """, cr AS (SELECT pm.date, pm.a, pm.b, pm.cov / sqrt(u.cov * v.cov) AS c FROM pm JOIN pm u ON u.date = pm.date AND u.a = pm.a AND u.b = pm.a JOIN pm v ON v.date = pm.date AND v.a = pm.b AND v.b = pm.b),
+m0 AS MATERIALIZED (SELECT date, a AS i, b AS j, c FROM cr UNION ALL SELECT date, b, a, c FROM cr WHERE a < b)""" + "".join(
+    f""", s{k} AS MATERIALIZED (SELECT u.date, u.i, v.j, sum(u.c * v.c) AS c FROM m{k - 1} u JOIN m{k - 1} v ON u.date = v.date AND u.j = v.i GROUP BY ALL),
+m{k} AS MATERIALIZED (SELECT date, i, j, c / sum(CASE WHEN i = j THEN c END) OVER (PARTITION BY date) AS c FROM s{k})""" for k in range(1, 25)
+) + f" SELECT u.date, round(sum(u.c * v.c) / {len(TICKERS)}, 6) AS share FROM m0 u JOIN m24 v ON u.date = v.date AND u.j = v.i AND u.i = v.j GROUP BY u.date"
+
 QUERIES = {
     "equity_drawdown": (equity_drawdown, _EQ + " SELECT strategy, date, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM dd"),
     "performance_metrics": (performance, _EQ + """, k AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY date) AS n FROM dd), g AS (SELECT strategy, n - row_number() OVER (PARTITION BY strategy ORDER BY n) AS g FROM k WHERE drawdown < 0),
@@ -187,11 +209,10 @@ SELECT strategy, n, round(ann, 6) AS ann_return, round(sd * sqrt(252), 6) AS ann
 SELECT strategy, decision, round(coalesce(sum(g), 0) + (1 - coalesce(sum(CASE WHEN g IS NOT NULL THEN weight END), 0)) * 1.0005 - 1, 6) AS ret FROM h GROUP BY ALL"""),
     "drift_simulation": (drift_simulation, _D + " SELECT strategy, date, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - 0.001 * turnover, 6) AS net FROM dr"),
     "cost_sensitivity": (cost_sensitivity, _D + " SELECT strategy, CAST(bps AS DOUBLE) AS bps, round(product(1 + gross / 100 - bps / CAST(10000 AS DOUBLE) * turnover), 6) AS nav FROM dr, (VALUES (0.0), (5.0), (10.0), (20.0)) c(bps) GROUP BY ALL"),
-    "capped_simplex_projection": (capped_simplex, None),
-    "shrunk_covariance": (shrunk_covariance, None),
-    "first_eigenvalue_share": (eigenvalue_share, None),
+    "capped_simplex_projection": (capped_simplex, _SIMPLEX),
+    "shrunk_covariance": (shrunk_covariance, _SHRUNK + " SELECT date, a, b, round((1 - rho) * cov + CASE WHEN a = b THEN rho * m ELSE 0 END, 6) AS cov, round(rho, 6) AS intensity FROM sk"),
+    "first_eigenvalue_share": (eigenvalue_share, _EIGEN),
     "optimal_weights": (optimal_weights, None),
-    "block_bootstrap_ci": (bootstrap, None),
     "deflated_sharpe": (deflated_sharpe, _P + f""", o AS (SELECT strategy, count(*) AS t, avg(net) / stddev_samp(net) AS sharpe, avg(net) AS m, stddev_pop(net) AS s FROM pa GROUP BY strategy),
 k AS (SELECT strategy, avg(pow((net - m) / s, 3)) AS skew, avg(pow((net - m) / s, 4)) AS kurt FROM pa JOIN o USING (strategy) GROUP BY strategy), b AS (SELECT stddev_samp(sharpe) * {stats.expected_max_z(len(TICKERS))!r} AS benchmark FROM o)
 SELECT strategy, round(sharpe, 6) AS sharpe, round(benchmark, 6) AS benchmark, round((sharpe - benchmark) * sqrt(t - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS z FROM o JOIN k USING (strategy), b"""),

@@ -52,8 +52,13 @@ def dwell_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed model's posteriors of every ticker's returns, in blocks of a year."""
     rows = _returns(spark, sf_dir)
+    return markov.posteriors(rows, fixed_models(rows), ["ticker"], "ret")
+
+
+def fixed_models(rows: DataFrame) -> DataFrame:
+    """The fixed model of every ticker."""
     given = {"k": F.lit(2), "start": F.lit(START), "move": F.lit([x for r in MOVES for x in r]), "mean": F.lit(MEANS), "std": F.lit(STDS)}
-    return markov.posteriors(rows, rows.select("ticker").distinct().withColumns(given), ["ticker"], "ret")
+    return rows.select("ticker").distinct().withColumns(given)
 
 
 def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronopanel.plans import regime_queries as rq
 from chronopanel.sources.panels import table
-from chronopanel.streaming import streams
+from chronopanel.streaming import online, streams
 
 
 def _work(spark: SparkSession) -> str:
@@ -54,7 +55,17 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "skew", "kurt")])
 
 
+def online_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed model's filter over weekly returns that arrive in three parts; the state is carried between them."""
+    rows = rq._returns(spark, sf_dir).select("ticker", "date", "ret")
+    ends = [None, "1994-06-30", "1996-06-30", None]
+    parts = [rows.where((F.lit(a is None) | (F.col("date") > F.lit(a).cast("date"))) & (F.lit(b is None) | (F.col("date") <= F.lit(b).cast("date")))) for a, b in zip(ends, ends[1:])]
+    out = online.filter_in_parts(parts, rq.fixed_models(rows), ["ticker"], "ret", _work(spark))
+    return out.select("date", "ticker", *[F.round(F.col("filtered")[j], 6).alias(f"p_{j}") for j in range(2)], F.round("loglik", 6).alias("loglik"))
+
+
 QUERIES = {
+    "stream_online_filter": (online_filter, rq._FILTER + " SELECT date, ticker, round(p_0, 6) AS p_0, round(p_1, 6) AS p_1, round(loglik, 6) AS loglik FROM po"),
     "stream_tumbling": (tumbling, "SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "stream_session": (session, """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS f FROM events),
 g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)

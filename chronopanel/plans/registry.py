@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronopanel.plans import build_queries, check_queries, feature_queries, model_queries, portfolio_queries, regime_queries, session_queries, stream_queries
+from chronopanel.plans import build_queries, check_queries, cost_queries, feature_queries, model_queries, portfolio_queries, regime_queries, session_queries, stream_queries
 
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**feature_queries.QUERIES, **session_queries.QUERIES, **regime_queries.QUERIES, **portfolio_queries.QUERIES, **stream_queries.QUERIES, **check_queries.QUERIES, **build_queries.QUERIES, **model_queries.QUERIES}
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**feature_queries.QUERIES, **session_queries.QUERIES, **regime_queries.QUERIES, **portfolio_queries.QUERIES, **stream_queries.QUERIES, **check_queries.QUERIES, **build_queries.QUERIES, **model_queries.QUERIES, **cost_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

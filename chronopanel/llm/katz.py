@@ -8,6 +8,9 @@ from the numbers of n-grams with each count; what that leaves goes to unseen n-g
     P(w)     = d(c) c(w) / N                 if w was seen
              = 1 - the sum of these          for the one class of all unseen words
 
+Where every count is over K nothing is discounted, and an unseen word would have probability 0. Such a context is closed:
+its denominator, c(v) or N, is one more, as in the CMU and SRI toolkits, and that one goes to what is unseen.
+
 Documents are read once, into blocks of about BLOCK tokens with a vocabulary of their own. Blocks send their words to
 buckets by the words' hash; a bucket adds up counts, gives numbers, small ones to frequent words, and answers each block in
 the order in which it sent its words. Each block then sends the bigrams of words that the training knows, once each, to
@@ -80,9 +83,10 @@ class Words:
     """P(w) from a word's training count."""
 
     def __init__(self, total: int, n: list[int], d: np.ndarray):
-        self.total, self.d = total, d
-        lost = sum(n[r] * r * (1 - d[r]) for r in range(1, K + 1))
-        self.unseen = lost / total if total else 1.0
+        closed = total > 0 and not any(n[1 : K + 1])
+        self.total, self.d = total + closed, d
+        lost = 1.0 if closed else sum(n[r] * r * (1 - d[r]) for r in range(1, K + 1))
+        self.unseen = lost / self.total if total else 1.0
 
     def p(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, _scaled(self.d, count) / max(1, self.total), self.unseen)
@@ -191,7 +195,7 @@ class Block:
         for k, packed in words:
             number[order[ends[k] : ends[k + 1]]], count[order[ends[k] : ends[k + 1]]] = unpack(packed)
         number[n], count[n] = _BEGIN, begins
-        self.number, self.count, self.t = number, count, t
+        self.number, self.count, self.t, self.hot = number, count, t, hot
         self.starts = np.cumsum(self.sizes) - self.sizes
         ctx = np.concatenate([[n], t[:-1]]) if len(t) else t
         ctx[self.starts] = n
@@ -221,8 +225,10 @@ class Block:
             yield k, slice(self.ends[k], self.ends[k + 1]), self.asked[self.asked_ends[k] : self.asked_ends[k + 1]]
 
     def needs(self, mine: slice, asked: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The contexts whose backoff weight a piece needs, given its bigrams' counts, in the order of their numbers."""
-        c = np.unique(np.concatenate([self.c[mine][count == 0], asked]))
+        """The contexts whose backoff weight a piece needs, given its bigrams' counts, in the order of their numbers. Of a
+        spread one it is needed in any case, since only its sign tells that the context is closed."""
+        c = self.c[mine]
+        c = np.unique(np.concatenate([c[(count == 0) | (self.count[c] > self.hot)], asked]))
         return c[np.argsort(self.number[c], kind="stable")]
 
     def request(self, mine: slice, asked: np.ndarray) -> bytes:
@@ -252,7 +258,7 @@ _TABLE = "bucket long, block long, counts binary, grams binary, blocks array<lon
 def _merge(got: pa.Table, words: Words, limit: int) -> pa.Table:
     """A bucket's part of the bigram table: in one row its bigrams (packed: contexts, their counts and numbers of bigrams,
     words, counts), which backoff weights which block needs, count statistics and sums of spread contexts; in a row for
-    each block the counts of its bigrams."""
+    each block the counts of its bigrams, negative in closed contexts that are not spread."""
     pieces = [unpack(x.as_py()) for x in got["grams"]]
     grams = [p[2] for p in pieces]
     heads = [np.cumsum(p[0]) for p in pieces]
@@ -281,13 +287,14 @@ def _merge(got: pa.Table, words: Words, limit: int) -> pa.Table:
     for i in np.flatnonzero(ctx_count > limit).tolist():
         mine = count[np.searchsorted(head_of, i) : np.searchsorted(head_of, i, "right")]
         hot.append({"ctx": int(all_heads[i]), "ctx_count": int(ctx_count[i]), "m": np.bincount(mine[mine <= K], minlength=K + 1).tolist(), "many": int(mine[mine > K].sum()), "q": float(q[i])})
+    signed = np.where((_closed(head_of, count, len(all_heads)) & (ctx_count <= limit))[head_of], -count, count)
     bucket, blocks = got["bucket"][0].as_py(), got["block"].to_pylist()
     rows, needs, at = [], [], 0
     for block, piece, sizes, h in zip(blocks, pieces, grams, heads, strict=True):
-        mine = count[place[at : at + sizes.sum()]]
+        mine = signed[place[at : at + sizes.sum()]]
         at += sizes.sum()
         rows.append({"bucket": bucket, "block": block, "counts": pack(mine)})
-        needs.append(pack(steps(np.searchsorted(all_heads, np.unique(np.concatenate([np.repeat(h, sizes)[mine == 0], np.cumsum(piece[7])]))))))
+        needs.append(pack(steps(np.searchsorted(all_heads, np.unique(np.concatenate([np.repeat(h, sizes)[(mine == 0) | np.repeat(piece[1] > limit, sizes)], np.cumsum(piece[7])]))))))
     packed = pack(steps(all_heads), ctx_count, np.bincount(head_of, minlength=len(all_heads)), word_s[first], count, q.view(np.int64))
     rows.append({"bucket": bucket, "grams": packed, "blocks": blocks, "needs": needs, "n": np.bincount(count[count <= K + 1], minlength=K + 2).tolist(), "hot": hot})
     kind = pa.schema([
@@ -297,13 +304,21 @@ def _merge(got: pa.Table, words: Words, limit: int) -> pa.Table:
     return pa.Table.from_pylist(rows, kind)
 
 
-def _backs(r: dict, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a row of the bigram table: contexts, their numbers of bigrams and backoff weights, words, counts."""
+def _closed(head_of: np.ndarray, count: np.ndarray, heads: int) -> np.ndarray:
+    """Which contexts have no bigram that is discounted."""
+    return np.bincount(head_of, weights=(count > 0) & (count <= K), minlength=heads) == 0
+
+
+def _backs(r: dict, words: Words, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of the bigram table: contexts, their numbers of bigrams and backoff weights (negative if closed), words,
+    counts. The words that a context was not followed by have the unseen class's probability at least, whatever the
+    rounding of the others' sum."""
     step, ctx_count, grams, word, count, q = unpack(r["grams"])
     heads = np.cumsum(step)
-    used = np.bincount(np.repeat(np.arange(len(heads)), grams), weights=_scaled(d, count), minlength=len(heads))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        back = (1 - used / ctx_count) / (1 - q.view(np.float64))
+    head_of = np.repeat(np.arange(len(heads)), grams)
+    used = np.bincount(head_of, weights=_scaled(d, count), minlength=len(heads))
+    left = np.where(_closed(head_of, count, len(heads)), -1 / (ctx_count + 1), 1 - used / ctx_count)
+    back = left / np.maximum(1 - q.view(np.float64), words.unseen)
     known = {h["ctx"]: h["back"] for h in r["back"] or ()}
     for i in np.flatnonzero(ctx_count > limit).tolist():
         back[i] = known[int(heads[i])]
@@ -324,16 +339,20 @@ def _score(block: pa.Table, got: pa.Table, words: Words, d: np.ndarray, total: i
         else:
             backs[x["bucket"]] = x["backs"]
     b = Block(r, told, *sizes, begins)
-    back, seen = np.ones(len(b.number)), np.zeros(len(b.c), np.int64)
+    back, seen, extra = np.ones(len(b.number)), np.zeros(len(b.c), np.int64), np.zeros(len(b.number), np.int64)
     for k, mine, asked in b.pieces():
-        (seen[mine],) = unpack(counts[k])
-        if len(c := b.needs(mine, asked, seen[mine])):
-            back[c] = unpack(backs[k])[0].view(np.float64)
+        (told_seen,) = unpack(counts[k])
+        seen[mine] = np.abs(told_seen)
+        extra[b.c[mine][told_seen < 0]] = 1
+        if len(c := b.needs(mine, asked, told_seen)):
+            told_back = unpack(backs[k])[0].view(np.float64)
+            back[c] = np.abs(told_back)
+            extra[c[told_back < 0]] = 1
     count = np.zeros(len(b.t), np.int64)
     count[b.at] = seen[b.gram]
     with np.errstate(divide="ignore"):
         lower = np.log10(back[b.ctx]) + np.log10(words.p(b.count[b.t]))
-        each = np.where(count > 0, np.log10(_scaled(d, count) / np.maximum(1, b.count[b.ctx])), lower)
+        each = np.where(count > 0, np.log10(_scaled(d, count) / np.maximum(1, b.count[b.ctx] + extra[b.ctx])), lower)
     base = np.log10((b.count[b.t] + 0.1) / (total + 0.1 * (distinct + 1)))
     add = lambda a, of=float: np.add.reduceat(a, b.starts, dtype=of)
     return pa.table([pa.array(r["ids"], kind), pa.array(b.held != 0), pa.array(b.sizes), pa.array(add(b.count[b.t] > 0, np.int64)), pa.array(add(base)), pa.array(add(each))], schema=schema)
@@ -380,15 +399,17 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     table = bigrams.where("grams is not null")
     spread = table.select("bucket", F.inline("hot"))
     used = F.aggregate(F.zip_with("m", weight, lambda m, x: m * x), F.lit(0.0), lambda s, x: s + x) + F.col("many")
-    totals = spread.groupBy("ctx").agg(F.sum(used).alias("used"), F.max("ctx_count").alias("ctx_count"), F.sum("q").alias("q"))
-    hot = spread.select("bucket", "ctx").join(totals.select("ctx", ((1 - F.col("used") / F.col("ctx_count")) / (1 - F.col("q"))).alias("back")), "ctx")
+    few = F.aggregate(F.slice("m", 2, K), F.lit(0).cast("long"), lambda s, x: s + x)
+    totals = spread.groupBy("ctx").agg(F.sum(used).alias("used"), F.sum(few).alias("few"), F.max("ctx_count").alias("ctx_count"), F.sum("q").alias("q"))
+    left = F.when(F.col("few") == 0, -1 / (F.col("ctx_count") + 1)).otherwise(1 - F.col("used") / F.col("ctx_count"))
+    hot = spread.select("bucket", "ctx").join(totals.select("ctx", (left / F.greatest(1 - F.col("q"), F.lit(float(words.unseen)))).alias("back")), "ctx")
     hot = hot.groupBy("bucket").agg(F.collect_list(F.struct("ctx", "back")).alias("back"))  # contexts of one bucket
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                back = _backs(r, d, spread_over)[2].view(np.int64)
+                back = _backs(r, words, d, spread_over)[2].view(np.int64)
                 packed = [pack(back[np.cumsum(unpack(x)[0])]) for x in r["needs"]]
                 yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]] * len(packed), pa.int64()), pa.array(r["blocks"], pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "backs"])
 

@@ -404,6 +404,32 @@ def test_katz(spark, odd, odd_rows, empty):
     assert rows(katz.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).select("n_tokens", "n_known", "score")) == [(3, 0, 0.0)]
 
 
+def test_katz_of_contexts_without_a_discount_is_finite_and_normalised(spark):
+    """A context whose followers all occur more than K times keeps no mass by Good-Turing."""
+    trained = [(i, "alpha beta gamma") for i in range(9)] + [(100 + i, f"delta {w}") for i, w in enumerate("pqrstu")] + [(300 + i, "delta " * (2 + i)) for i in range(3)]
+    asked = ["alpha", "alpha beta gamma", *(f"alpha {w}" for w in ("alpha", "gamma", "delta", *"pqrstu", "never")), "beta never"]
+    docs = trained + [(1000 + i, t) for i, t in enumerate(asked)]
+    alone = [(i, "alpha beta") for i in range(8)] + [(1000, "alpha beta"), (1001, "beta alpha"), (1002, "never"), (1003, "alpha never")]
+    for spread_over in (3, 100_000):
+        score = lambda d: {r["id"]: r for r in katz.score(spark.createDataFrame(d, "doc_id long, text string"), F.col("doc_id") >= 1000, block=20, spread_over=spread_over, bucket=10).collect()}  # noqa: B023, E731
+        got = score(docs)
+        assert all(np.isfinite(r["score"]) for r in got.values())
+        uni = Counter(w for _, t in trained for w in [*t.split(), None])
+        d1 = katz.discounts([0, *[sum(c == r for c in uni.values()) for r in range(1, 7)]])
+        p1 = {w: (d1[c] if c <= 5 else 1.0) * c / sum(uni.values()) for w, c in uni.items()}
+        rest = 1 - p1["beta"]
+        # begin alpha: 9 of 18; alpha beta, beta gamma, gamma end: 9 of 10, and a tenth for all others by their share.
+        begin = got[1001]["score"] - 3 * np.log10(0.9)
+        assert np.isclose(got[1000]["score"], begin + np.log10(0.1 * p1[None] / rest))
+        never = got[1000 + asked.index("alpha never")]["score"]
+        assert np.isclose(never, begin + np.log10(0.1 * (1 - sum(p1.values())) / rest) + np.log10(p1[None]))
+        finite = score(alone)  # every word is over K too
+        total = 24
+        assert all(np.isfinite(r["score"]) for r in finite.values())
+        assert np.isclose(finite[1000]["score"], 3 * np.log10(8 / 9))
+        assert np.isclose(finite[1002]["score"], np.log10(1 / 9 * (1 / (total + 1)) / (1 - 8 / (total + 1))) + np.log10(8 / (total + 1)))
+
+
 def brute_lines(docs):
     """docs: (id, text); their texts without recurring lines."""
 

@@ -1,73 +1,209 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
 Vectors become integers (floor of scale times each component). Their dimensions are cut into SLICES stretches, and for a
-query each stretch has a list of partial scores of all candidates; a score is the sum of its partial ones. Vectors stand
-in a grid of blocks, each cell with one block of queries and one of candidates.
+query each stretch has a list of partial scores of all candidates; a score is the sum of its partial ones. Vectors are
+packed into blocks, and a cell has one block of queries and one of candidates.
 
-1: cells of every STRIDE-th block of candidates gather short lists of their best whole scores. The k-th best of a query's
-lists is a safe cutoff c, since k candidates reach it. 2: a candidate whose score reaches c has a partial score of c/m or
-more in one of the m lists, so each list is told the uniform share and sends the entries that reach it. Candidates that
+1: cells of every STRIDE-th block of candidates find the k best whole scores in these. The k-th is a safe cutoff c, since
+k candidates reach it. 2: a candidate whose score reaches c has a partial score of c/m or more in one of the m lists, so
+in each cell of the other blocks each list is told the uniform share and sends the entries that reach it. Candidates that
 all lists sent have whole scores by that, whose k-th best is a better cutoff. 3: of the others, those whose sent partial
-scores and the most that the other lists can have left unsent reach the better cutoff are looked up and scored exactly.
-So each pair of rows is scored once, but for the share of phase 1, and no phase misses a candidate.
+scores and the most that the other lists can have left unsent reach the better cutoff are looked up in these lists. Cells
+that one task goes through hand their cutoffs on. So each pair of rows is scored once, and no phase misses a candidate.
 
-Partial scores are sums of products in doubles while all of them stay below 2**53, and in 64-bit integers otherwise, so
-every phase is exact.
+Cells are pairs of rows of two stored tables of blocks by Spark's product of partitions, which reads both again where it
+needs them, so that no copies of blocks are shuffled or stored. What a cell's lists send stays in its task; what a task
+writes is at most k candidates a query out of all blocks of its partition. Only time is quadratic.
+
+Partial scores are sums of products in floats while all of them stay below 2**24, in doubles below 2**53, and in 64-bit
+integers otherwise, so every phase is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, stored
 
-#: Rows in one side of a cell; lists, as stretches of the dimensions; blocks of which one makes the first cutoff.
-BLOCK, SLICES, STRIDE = 1024, 2, 8
+#: Candidates of a block, which has half as many queries; lists, as stretches of the dimensions; blocks of which one makes
+#: the first cutoff; cells that a task is handed at once; partitions whose lists are merged at once, and the most that the
+#: first cutoff's blocks have; blocks of such a partition.
+BLOCK, SLICES, STRIDE, CELLS, MERGED, SAMPLED = 1024, 2, 8, 32, 64, 256
 
 _LEAST = np.iinfo(np.int64).min
+_LISTS = "qb long, part int, size int, at binary, id binary, score binary"
+_QUERIES = "qb long, qid binary, qv binary, qwidth int, qbytes int"
+_TOLD = _QUERIES + ", cut binary, size int, at binary, id binary, score binary"
+_FOUND = "query_id long, id long, score long"
 
 
-def _matrix(t: pa.Table, column: str) -> np.ndarray:
-    flat = t[column].combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1).astype(np.int64)
+def _ints(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", np.int64)
 
 
-def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not q.size or not x.size:
-        return np.zeros((len(q), len(x)), np.int64)
-    if float(np.abs(q.astype(float)).max()) * float(np.abs(x.astype(float)).max()) * q.shape[1] < 2**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+def _matrix(v: pa.ListArray) -> np.ndarray:
+    """Rows of the smallest integers that hold them, with 0 where a vector is shorter than the longest."""
+    sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    low, high = (int(flat.min()), int(flat.max())) if len(flat) else (0, 0)
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    out = np.zeros((len(v), int(sizes.max(initial=0))), kind)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out
 
 
-_SENT = "qb int, xb int, query long, cand array<long>, id array<long>, part array<long>"
-_TOPS = "xb int, query long, id array<long>, score array<long>"
-_OPEN = "query long, cand long"
+def _unpack(packed: bytes, n: int, width: int, size: int) -> np.ndarray:
+    return np.frombuffer(packed, f"i{size}").reshape(n, width)
+
+
+def _blocks(rows: DataFrame, block: int, stride: int, names: str) -> DataFrame:
+    """(number, ids, vectors, width, bytes of a component, sampled) of the rows (id, v), under the given names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                b = batch.slice(start, block)
+                m = _matrix(b["v"])
+                row = [at << 32 | done, b["id"].to_numpy().tobytes(), m.tobytes(), m.shape[1], m.itemsize, (at + done) % stride == 0]
+                done += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=[c.split(" ")[0] for c in names.split(", ")])
+
+    return rows.select("id", "v").mapInArrow(run, names)
+
+
+class Best:
+    """The k best candidates of each query of a block: scores in falling order, ties by rising id, _LEAST where none is.
+    What take() gets is merged when it is half as much as is kept, or when it is asked for."""
+
+    def __init__(self, n: int, k: int):
+        self.score, self.id = np.full((n, k), _LEAST), np.zeros((n, k), np.int64)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def take(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.waiting.append((query, ids, score))
+            if 2 * sum(len(w[0]) for w in self.waiting) >= self.score.size:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        query, ids, score = (np.concatenate(c) for c in zip(*self.waiting, strict=True))
+        self.waiting = []
+        k = self.score.shape[1]
+        some = np.unique(query)
+        old = self.score[some].ravel()
+        known = old != _LEAST
+        query = np.concatenate([np.repeat(some, k)[known], query])
+        ids, score = np.concatenate([self.id[some].ravel()[known], ids]), np.concatenate([old[known], score])
+        order = np.lexsort((ids, ~score, query))  # ~ turns the order round without overflow
+        query, ids, score = query[order], ids[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        query, ids, score, rank = (a[rank < k] for a in (query, ids, score, rank))
+        self.score[query, rank], self.id[query, rank] = score, ids
+
+    def take_lists(self, rows: list[dict]) -> Best:
+        for r in rows:
+            self.take(np.frombuffer(r["at"], np.int32), _ints(r["id"]), _ints(r["score"]))
+        self.settle()
+        return self
+
+    def any(self) -> bool:
+        self.settle()
+        return bool((self.score != _LEAST).any())
+
+    def packed(self) -> list:
+        self.settle()
+        known = self.score != _LEAST
+        return [len(known), np.nonzero(known)[0].astype(np.int32).tobytes(), self.id[known].tobytes(), self.score[known].tobytes()]
+
+
+def _cell(best: Best, cut: np.ndarray, qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, m: int) -> None:
+    """Phases 2 and 3 of a cell. cut: a score that k candidates of each query are known to reach, or _LEAST."""
+    width, k = min(q.shape[1], x.shape[1]), best.score.shape[1]
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * width
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    q, x, m = q[:, :width].astype(kind), x[:, :width].astype(kind), max(1, min(m, width))
+    edge = [s * width // m for s in range(m + 1)]
+    lists = [q[:, a:b] @ x[:, a:b].T for a, b in zip(edge, edge[1:], strict=False)]
+    cutoff = np.maximum(cut, best.score[:, -1])
+    mine = np.flatnonzero(np.isin(xid, qid))  # the queries' own rows
+    if (cutoff == _LEAST).any() and len(xid) - len(mine) >= k:
+        whole = np.delete(sum(lists), mine, 1)  # enough candidates of this cell alone give a cutoff
+        cutoff = np.maximum(cutoff, np.partition(whole, whole.shape[1] - k, axis=1)[:, -k].astype(np.int64))
+    share = np.where(cutoff == _LEAST, _LEAST, -(-cutoff // m))
+    told = share.astype(kind)[:, None]
+    sent = [part >= told for part in lists]
+    at = np.flatnonzero(np.logical_or.reduce(sent))
+    query, cand = np.divmod(at, max(1, len(xid)))
+    other = qid[query] != xid[cand]
+    at, query, cand = at[other], query[other], cand[other]
+    came = [s.ravel()[at] for s in sent]
+    parts = [part.ravel()[at].astype(np.int64) for part in lists]
+    n, known = sum(c.astype(np.int64) for c in came), sum(np.where(c, p, 0) for c, p in zip(came, parts, strict=True))
+    full = (n == m) & (known >= cutoff[query])
+    best.take(query[full], xid[cand[full]], known[full])
+    # Without a cutoff everything was sent, and no pair lacks a list.
+    better = np.maximum(cutoff, best.score[:, -1])[query]
+    open_ = (n < m) & (known + (m - n) * (share[query] - 1) >= better)
+    score = sum(p[open_] for p in parts)
+    query, ids, good = query[open_], xid[cand[open_]], score >= better[open_]
+    best.take(query[good], ids[good], score[good])
+
+
+def _table(of: str, rows: list[list]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in of.split(", "))])
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
-def _table(of: str, columns: list | None = None) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
-    schema = pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in of.split(", "))])
-    return schema.empty_table() if columns is None else pa.Table.from_arrays([pa.array(c, kind) if isinstance(c, np.ndarray) else c for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
+def _cells(pairs: DataFrame, k: int, m: int) -> DataFrame:
+    """The lists of each block of queries in a partition: at most k candidates a query, none below its cutoff."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, best = TaskContext.get().partitionId(), None, None
+        done = lambda: _table(_LISTS, [[block, part, *best.packed()]] if best is not None and best.any() else []).to_batches()
+        for b in batches:
+            for i in range(b.num_rows):  # all cells of a block of queries come one after the other
+                r = {c: b[c][i].as_py() for c in b.schema.names if c != "qv"}
+                if r["qb"] != block:
+                    yield from done()
+                    block, qid = r["qb"], _ints(r["qid"])
+                    q, best = _unpack(b["qv"][i].as_py(), len(qid), r["qwidth"], r["qbytes"]), Best(len(qid), k)
+                    cut = np.full(len(qid), _LEAST) if r["cut"] is None else _ints(r["cut"])
+                xid = _ints(r["xid"])
+                _cell(best, cut, qid, q, xid, _unpack(r["xv"], len(xid), r["xwidth"], r["xbytes"]), m)
+        yield from done()
+
+    return pairs.select("qb", "qid", "qv", "qwidth", "qbytes", "cut", "xid", "xv", "xwidth", "xbytes").mapInArrow(run, _LISTS)
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    """One list a block of queries and MERGED partitions."""
 
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        return _table(_LISTS, [[rows[0]["qb"], rows[0]["part"], *Best(rows[0]["size"], k).take_lists(rows).packed()]])
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values, pa.int64()))
+    return lists.groupBy("qb", F.floor(F.col("part") / MERGED)).applyInArrow(run, _LISTS)
 
 
-def _merged(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """(row of t, candidate, id, sum, how many lists sent it) of each pair that a cell's lists sent, sorted by query."""
-    flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(t)), t["cand"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
-    query, cand, ids, part = t["query"].to_numpy()[row], flat("cand"), flat("id"), flat("part")
-    order = np.lexsort((cand, query))
-    query, cand = query[order], cand[order]
-    first = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (cand[1:] != cand[:-1])])[: len(order)])
-    sums = np.add.reduceat(part[order], first) if len(first) else part
-    return row[order][first], cand[first], ids[order][first], sums, np.diff(np.concatenate([first, [len(order)]]))
+def _product(queries: DataFrame, candidates: DataFrame, k: int, m: int, name: str) -> DataFrame:
+    """The stored lists of all cells. A row of the product holds two blocks, so few of them go to a task at once."""
+    spark, most = queries.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    spark.conf.set(most, str(CELLS))
+    try:
+        return stored(_merged(_cells(queries.hint("shuffle_replicate_nl").crossJoin(candidates), k, m), k), name)
+    finally:
+        spark.conf.set(most, before)
 
 
 def top_k(
@@ -88,84 +224,41 @@ def top_k(
     whole = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(v, lambda c: F.floor(c.cast("double") * scale))
     sound = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
-    width = max(1, sound.agg(F.max(F.size("v"))).first()[0] or 0)
-    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
-    rows = stored(sound.select(F.monotonically_increasing_id().alias("row"), "id", padded.alias("v")), "vectors")
-    asking = stored(rows.where(queries).groupBy("id", "v").agg(F.min("row").alias("row")), "queries")
-    n_q, n_x = asking.count(), rows.count()
-    qs, xs = max(1, -(-n_q // block)), max(1, -(-n_x // block))
-    m = min(slices, width)
-    spread = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    all_of = lambda n, step=1: F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step)))
-    # Names of the candidates' own, or cogroup takes both sides' columns for the same.
-    x = rows.select(spread(xs).alias("xb"), F.col("row").alias("cand"), F.col("id").alias("cid"), F.col("v").alias("w"))
-    q = asking.select(spread(qs).alias("qb"), F.col("row").alias("query"), "id", "v")
-    step = max(1, min(stride, xs))
-
-    def gather(qt: pa.Table, xt: pa.Table) -> pa.Table:
-        if not len(qt) or not len(xt):  # a block of the grid may be empty, and then has no columns
-            return _table("query long, xb int, best array<long>")
-        ids, cand = qt["id"].to_numpy(), xt["cid"].to_numpy()
-        best = [row[cand != i] for i, row in zip(ids, _scores(_matrix(qt, "v"), _matrix(xt, "w")), strict=True)]
-        best = [np.partition(b, len(b) - k)[-k:] if len(b) > k else b for b in best]
-        return _table("query long, xb int, best array<long>", [qt["query"].to_numpy(), qt["xb"].to_numpy(), _lists(np.concatenate(best), np.array([len(b) for b in best]))])
-
-    def kth(lists: DataFrame) -> DataFrame:
-        """(query, c): the k-th best of lists (query, xb, best), null if there are fewer. Lists are merged in two steps, so
-        that no group grows with the number of blocks."""
-        best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k)
-        some = lists.groupBy("query", F.floor(F.col("xb") / 256)).agg(best.alias("best")).groupBy("query").agg(best.alias("b"))
-        return some.select("query", F.when(F.size("b") >= k, F.get("b", F.lit(k - 1))).alias("c"))
-
-    grid = lambda a, b, keys, f, s: a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(f, s)
-    share = q.select("*", all_of(xs, step).alias("xb"))
-    lists = grid(share, x.where(F.col("xb") % step == 0).select("*", all_of(qs).alias("qb")), ("qb", "xb"), gather, "query long, xb int, best array<long>")
-    cut = stored(kth(lists).withColumnRenamed("c", "cutoff"), "cutoffs")
-
-    def send(qt: pa.Table, xt: pa.Table) -> pa.Table:
-        if not len(qt) or not len(xt):
-            return _table(_SENT)
-        least = qt["least"].fill_null(_LEAST).to_numpy()
-        score = _scores(_matrix(qt, "v"), _matrix(xt, "w"))
-        cand, cid = xt["cand"].to_numpy(), xt["cid"].to_numpy()
-        i, j = np.nonzero((score >= least[:, None]) & (cid != qt["id"].to_numpy()[:, None]))
-        sizes = np.bincount(i, minlength=len(qt))
-        return _table(_SENT, [qt["qb"].to_numpy(), qt["xb"].to_numpy(), qt["query"].to_numpy(), _lists(cand[j], sizes), _lists(cid[j], sizes), _lists(score[i, j], sizes)])
-
-    at = lambda c, s: F.slice(c, F.floor(s * width / m).cast("int") + 1, F.floor((s + 1) * width / m).cast("int") - F.floor(s * width / m).cast("int"))
-    told = q.join(cut, "query", "left").withColumn("least", F.ceil(F.col("cutoff") / m))
-    a = told.select("qb", "query", "id", "least", "v", all_of(xs).alias("xb")).select("qb", "xb", "query", "id", "least", "v", all_of(m).alias("s")).withColumn("v", at("v", F.col("s")))
-    b = x.select("*", all_of(qs).alias("qb")).select("*", all_of(m).alias("s")).withColumn("w", at("w", F.col("s")))
-    sent = stored(grid(a, b, ("qb", "xb", "s"), send, _SENT), "sent")
-
-    def complete(t: pa.Table) -> pa.Table:
-        row, _, ids, sums, seen = _merged(t)
-        full = seen == m
-        query, ids, sums = t["query"].to_numpy()[row][full], ids[full], sums[full]
-        order = np.lexsort((ids, -sums, query))
-        query, ids, sums = query[order], ids[order], sums[order]
-        take = np.arange(len(query)) - np.searchsorted(query, query) < k
-        some, sizes = np.unique(query[take], return_counts=True)
-        return _table(_TOPS, [np.full(len(some), t["xb"][0].as_py()), some, _lists(ids[take], sizes), _lists(sums[take], sizes)])
-
-    tops = stored(sent.groupBy("qb", "xb").applyInArrow(complete, _TOPS), "tops")
-    # Queries without a cutoff, or of which no candidate was sent by all lists, are among these too.
-    known = asking.select(F.col("row").alias("query")).join(cut, "query", "left").join(kth(tops.select("query", "xb", F.col("score").alias("best"))), "query", "left")
-    better = known.select("query", F.greatest("c", "cutoff").alias("better"), F.ceil(F.col("cutoff") / m).alias("least"))
-
-    def open_(t: pa.Table) -> pa.Table:
-        row, cand, _, sums, seen = _merged(t)
-        better, least = (t[c].fill_null(_LEAST).to_numpy()[row] for c in ("better", "least"))
-        # Without a cutoff everything was sent, and no pair lacks a list.
-        take = (seen < m) & (sums + (m - seen) * (least - 1) >= better)
-        return _table(_OPEN, [t["query"].to_numpy()[row][take], cand[take]])
-
-    rest = sent.join(better, "query").groupBy("qb", "xb").applyInArrow(open_, _OPEN)
-    product = F.aggregate(F.zip_with("v", "w", lambda s, t: s * t), F.lit(0).cast("long"), lambda s, t: s + t)
-    looked_up = rest.join(asking.select(F.col("row").alias("query"), "v"), "query").join(rows.select(F.col("row").alias("cand"), "id", F.col("v").alias("w")), "cand").select("query", "id", product.alias("score"))
-    every = tops.select("query", F.inline(F.arrays_zip("id", "score"))).unionByName(looked_up).join(asking.select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query")
+    asked = sound.where(queries)
+    width, n = asked.agg(F.max(F.size("v")), F.count("*")).first()
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width or 0) - F.size("v")))
+    half = max(1, block // 2)
+    most = max(1, -(-n // half))
+    # Two partitions of queries a core: their tasks share what the few partitions of the first cutoff's blocks can't.
+    asking = asked.select("id", padded.alias("v")).repartition(min(most, 2 * spark.sparkContext.defaultParallelism), "id").distinct().coalesce(most)
+    q = stored(_blocks(asking, half, 1, _QUERIES + ", sampled boolean").drop("sampled"), "queries")
+    x = stored(_blocks(sound, block, max(1, stride), "xb long, xid binary, xv binary, xwidth int, xbytes int, sampled boolean"), "vectors")
+    sampled = x.where("sampled")
+    some = stored(sampled.coalesce(min(MERGED, -(-sampled.count() // SAMPLED) or 1)), "sample")
+    first = _product(q.withColumn("cut", F.lit(None).cast("binary")), some, k, slices, "first")
+
+    def tell(qt: pa.Table, lists: pa.Table) -> pa.Table:
+        if not len(qt):
+            return _table(_TOLD, [])
+        r = qt.to_pylist()[0]
+        best = Best(len(_ints(r["qid"])), k).take_lists(lists.to_pylist())
+        return _table(_TOLD, [[*r.values(), best.score[:, -1].tobytes(), *best.packed()]])
+
+    def finish(qt: pa.Table, lists: pa.Table) -> pa.Table:
+        if not len(qt):
+            return _table(_FOUND, [])
+        r = qt.to_pylist()[0]
+        qid = _ints(r["qid"])
+        best = Best(len(qid), k).take_lists([r, *lists.to_pylist()])
+        known = best.score != _LEAST
+        return pa.table({"query_id": qid[np.nonzero(known)[0]], "id": best.id[known], "score": best.score[known]})
+
+    grid = lambda a, b, f, s: a.groupBy("qb").cogroup(b.groupBy("qb")).applyInArrow(f, s)
+    told = stored(grid(q, first, tell, _TOLD), "told")
+    found = _product(told, x.where("not sampled"), k, slices, "found")
+    every = grid(told.select("qb", "qid", "at", "id", "score"), found, finish, _FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = stored(every.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score"), "topk")
-    for done in (sent, tops, cut):
+    for done in (q, x, some, first, told, found):
         forget(spark, done)
     return out

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronopanel.llm import byte_bpe, katz, license_scan, line_dedup, mixing, quality, queries, simhash, token_counts, topk, url_filter
+from chronopanel.llm import byte_bpe, common, katz, license_scan, line_dedup, mixing, quality, queries, simhash, token_counts, topk, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -299,6 +300,23 @@ def test_topk(spark):
     assert topk.top_k(df.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_topk_moves_less_than_a_few_times_its_input(spark, tmp_path, monkeypatch):
+    """Blocks of both sides are many; what is shuffled and stored must not grow with their product."""
+    n, width, rng = 2400, 32, np.random.default_rng(1)
+    drawn = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, width)) / 5)]
+    df = spark.createDataFrame(drawn, "vec_id long, embedding array<double>").repartition(2)
+    written = lambda: int(spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())
+    monkeypatch.setattr(topk, "forget", lambda *_: None)
+    monkeypatch.setattr(common, "work_dir", lambda _: str(tmp_path))
+    df = df.localCheckpoint()
+    time.sleep(1)  # for the listener that adds up
+    before = written()
+    got = sorted(rows(topk.top_k(df, F.col("id") % 20 == 0, block=64)))
+    time.sleep(1)
+    assert got == brute_topk(drawn)
+    assert written() - before + sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 4 * n * width * 4
+
+
 SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
